@@ -79,7 +79,7 @@ def evaluate_effectiveness(
     measured = (
         before_after(pending, q, tolerance, last_n)
         .where(F.size("after") >= max(min_obs, 1))
-        .withColumn("new_duration_ms", total / F.size("after"))
+        .withColumn("new_duration_ms", F.try_divide(total, F.size("after").cast("double")))
         .select(
             F.col("analysis_id").alias("id"),
             "fingerprint",

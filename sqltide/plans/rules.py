@@ -102,7 +102,7 @@ def fold(rules: Sequence[Rule]) -> dict[str, Column]:
 
 def _grouped(value: Column) -> Column:
     """Thousands separators; decimals only when the value has some."""
-    return F.format_number(value, "#,##0.###############")
+    return F.call_function("format_number", value, F.lit("#,##0.###############"))
 
 
 def mysql_plan_rules(plan: Column, strict: bool = False) -> list[Rule]:

@@ -51,9 +51,25 @@ def stream_ingest(
     return ingest_mysql_slow_log(raw, host, default_db)
 
 
+def _epoch() -> Column:
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+
+
+def to_instant(moment: Column) -> Column:
+    """A naive UTC time as a point in time, whatever the session's time zone."""
+    return F.timestamp_micros(F.lit(0)) + (moment - _epoch())
+
+
+def to_naive(instant: Column) -> Column:
+    """The inverse of ``to_instant``."""
+    return _epoch() + (instant - F.timestamp_micros(F.lit(0)))
+
+
 def _event_time(rows: DataFrame) -> DataFrame:
-    """Watermarks need a timestamp with time zone; the session zone should be UTC."""
-    return rows.withColumn(_CAPTURED, F.col(_CAPTURED).cast("timestamp"))
+    """Watermarks need a timestamp with time zone."""
+    if isinstance(rows.schema[_CAPTURED].dataType, T.TimestampNTZType):
+        return rows.withColumn(_CAPTURED, to_instant(F.col(_CAPTURED)))
+    return rows
 
 
 def stream_dedup(rows: DataFrame, horizon: str = "1 day") -> DataFrame:
@@ -63,9 +79,12 @@ def stream_dedup(rows: DataFrame, horizon: str = "1 day") -> DataFrame:
     lie within it, and rows older than it are dropped.  For no such bound use
     ``dedup_into_store``.
     """
-    return _event_time(rows).withWatermark(_CAPTURED, horizon).dropDuplicatesWithinWatermark(
-        list(EXECUTION_KEY)
+    unique = (
+        _event_time(rows)
+        .withWatermark(_CAPTURED, horizon)
+        .dropDuplicatesWithinWatermark(list(EXECUTION_KEY))
     )
+    return unique.withColumn(_CAPTURED, to_naive(F.col(_CAPTURED)))
 
 
 def _start(writer, checkpoint: str, processing_time: str | None) -> StreamingQuery:
@@ -162,7 +181,8 @@ def stream_trend(
             F.max("duration_ms").cast("double").alias("max_duration_ms"),
         )
         .select(
-            F.col("period.start").alias("start"), F.col("period.end").alias("end"),
+            to_naive(F.col("period.start")).alias("start"),
+            to_naive(F.col("period.end")).alias("end"),
             "query_count", "avg_duration_ms", "max_duration_ms",
         )
     )
