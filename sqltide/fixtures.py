@@ -150,7 +150,8 @@ def _case_sql(part: str, tail: str) -> str:
     brand = "lower(replace(p_brand, '#', '_'))"
     return f"""
 SELECT concat('SELECT ', {name}, ' FROM ', {brand}, ' JOIN ', lower(p_type),
-    ' ON id = ref_id WHERE size_', CAST(p_size AS string), {tail}) AS fingerprint,
+    ' ON id = ref_id WHERE size_', CAST(p_size AS string), ' = ? AND c_',
+    CAST(CAST(floor(p_retailprice) AS bigint) AS string), {tail}) AS fingerprint,
   CASE p_type WHEN 'ECONOMY' THEN 'postgres' ELSE 'mysql' END AS db_type,
   min(p_partkey) AS part_key,
   CAST(max(p_retailprice) AS double) AS price

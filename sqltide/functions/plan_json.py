@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqltide.functions.text import let
+
 _ROOT = T.StructType(
     [
         T.StructField(
@@ -49,11 +51,8 @@ _CHILD_LIST = (
     "optimized_away_subqueries", "select_list_subqueries", "order_by_subqueries",
     "group_by_subqueries", "having_subqueries", "Plans",
 )
-_CHILDREN = T.StructType(
-    [T.StructField(name, T.StringType()) for name in _SINGLE_CHILD]
-    + [T.StructField(name, T.ArrayType(T.StringType())) for name in _CHILD_LIST]
-)
-_NODE = T.StructType(
+# A plan object: its own facts, and its children as text.
+_OBJECT = T.StructType(
     [
         T.StructField("table_name", T.StringType()),
         T.StructField("access_type", T.StringType()),
@@ -64,6 +63,8 @@ _NODE = T.StructType(
         T.StructField("Relation Name", T.StringType()),
         T.StructField("Plan Rows", T.DoubleType()),
     ]
+    + [T.StructField(name, T.StringType()) for name in _SINGLE_CHILD]
+    + [T.StructField(name, T.ArrayType(T.StringType())) for name in _CHILD_LIST]
 )
 
 
@@ -99,25 +100,31 @@ def plan_features(plan_json: Column, db_type: Column) -> Column:
 
 
 def _children(node: Column) -> Column:
-    parsed = F.from_json(node, _CHILDREN)
-    empty = F.array().cast("array<string>")
-    lists = [F.coalesce(parsed[name], empty) for name in _CHILD_LIST]
-    return F.array_compact(F.concat(F.array(*[parsed[name] for name in _SINGLE_CHILD]), *lists))
+    """The child objects of a parsed plan object, parsed."""
+    none = F.array().cast("array<string>")
+    single = F.array(*[node[name] for name in _SINGLE_CHILD])
+    lists = [F.coalesce(node[name], none) for name in _CHILD_LIST]
+    texts = F.array_compact(F.concat(single, *lists))
+    return F.transform(texts, lambda child: F.from_json(child, _OBJECT))
 
 
 def plan_node_list(plan_json: Column) -> Column:
     """Every plan object at any depth, as an array of structs.
 
-    Level by level inside one expression.  The number of levels cannot exceed
-    the number of opening braces, so no plan is cut short.
+    Each object is parsed once, level by level inside one expression.  The
+    number of levels cannot exceed the number of opening braces, so no plan is
+    cut short.
     """
-    empty = F.array().cast("array<string>")
     depth = F.length(plan_json) - F.length(F.replace(plan_json, F.lit("{"), F.lit("")))
-    start = F.struct(F.array(plan_json).alias("frontier"), empty.alias("seen"))
+    root = F.array(F.from_json(plan_json, _OBJECT))
+    start = F.struct(root.alias("frontier"), root.alias("seen"))
 
     def next_level(state: Column, _: Column) -> Column:
-        found = F.flatten(F.transform(state["frontier"], _children))
-        return F.struct(found.alias("frontier"), F.concat(state["seen"], found).alias("seen"))
+        return let(
+            F.flatten(F.transform(state["frontier"], _children)),
+            lambda found: F.struct(
+                found.alias("frontier"), F.concat(state["seen"], found).alias("seen")
+            ),
+        )
 
-    seen = F.aggregate(F.sequence(F.lit(0), depth), start, next_level, lambda s: s["seen"])
-    return F.transform(seen, lambda node: F.from_json(node, _NODE))
+    return F.aggregate(F.sequence(F.lit(1), depth), start, next_level, lambda s: s["seen"])

@@ -64,10 +64,13 @@ def normalize_query(sql: Column) -> Column:
     return F.rtrim(text, F.lit(";"))
 
 
+EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
+
+
 def sql_hash(fingerprint: Column) -> Column:
     """md5 hex of the pattern text; '' for an empty or missing pattern."""
-    text = F.coalesce(fingerprint, F.lit(""))
-    return F.when(text == "", F.lit("")).otherwise(F.md5(text.cast("binary")))
+    digest = F.md5(F.coalesce(fingerprint, F.lit("")).cast("binary"))
+    return F.replace(digest, F.lit(EMPTY_MD5), F.lit(""))
 
 
 def make_fingerprint(sql: Column) -> Column:
@@ -181,8 +184,11 @@ def antipattern_flags(sql: Column) -> Column:
             r"\bfrom [a-z_][a-z0-9_.]*(?: (?:as )?[a-z_][a-z0-9_]*)? ?, ?[a-z_]"
         ),
     }
-    return F.array_compact(
-        F.array(*[F.when(check, F.lit(code)) for code, check in checks.items()])
+    none = F.array().cast("array<string>")
+    return F.flatten(
+        F.array(
+            *[F.when(check, F.array(F.lit(code))).otherwise(none) for code, check in checks.items()]
+        )
     )
 
 
@@ -220,20 +226,22 @@ def _numbered(names: Column, prefix: str) -> Column:
     )
 
 
-def name_map(sql: Column) -> Column:
-    """Map of every table and column name of a statement to its placeholder."""
-    text = replace_literals(collapse_blanks(sql))
-    lowered = F.lower(text)
-    tables = F.array_distinct(
-        F.concat(extract_tables(text), _names_after(lowered, "into|update|table"))
+def _bare(sql: Column) -> Column:
+    return replace_literals(collapse_blanks(sql))
+
+
+def _names(lowered: Column) -> Column:
+    """Map of the table and column names of a literal-free statement to placeholders."""
+    tables = F.concat(
+        _names_after(lowered, "from"),
+        _names_after(lowered, "join"),
+        _names_after(lowered, "into|update|table"),
     )
-    tables = F.filter(tables, lambda t: ~t.isin(*SQL_KEYWORDS))
+    tables = F.filter(F.array_distinct(tables), lambda t: ~t.isin(*SQL_KEYWORDS))
 
     def with_tables(bound: Column) -> Column:
         words = bound["words"]
-        following = F.concat(
-            F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(""))
-        )
+        following = F.concat(F.slice(words, F.lit(2), F.size(words)), F.array(F.lit("")))
         pairs = F.zip_with(
             words, following, lambda w, nxt: F.struct(w.alias("w"), nxt.alias("nxt"))
         )
@@ -254,8 +262,7 @@ def name_map(sql: Column) -> Column:
             )
         )
 
-    bound = F.struct(tables.alias("tables"), _tokens(lowered).alias("words"))
-    return let(bound, with_tables)
+    return let(F.struct(tables.alias("tables"), _tokens(lowered).alias("words")), with_tables)
 
 
 def _apply_names(text: Column, names: Column) -> Column:
@@ -272,36 +279,35 @@ def anonymize_sql(sql: Column) -> Column:
 
     Numbers follow first appearance.  Keywords and function names stay.
     """
-    text = replace_literals(collapse_blanks(sql))
-    return let(name_map(sql), lambda names: _apply_names(text, names))
+    return let(
+        _bare(sql),
+        lambda text: let(_names(F.lower(text)), lambda names: _apply_names(text, names)),
+    )
+
+
+def _anonymous_value(token: Column, names: Column) -> Column:
+    """A quoted JSON string with its literals and names replaced."""
+    quoted = F.rtrim(token)
+    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    inner = F.regexp_replace(F.regexp_replace(inner, SINGLE_QUOTED, "?"), NUMBER, "?")
+    return F.concat(F.lit('"'), _apply_names(inner, names), F.lit('"'))
 
 
 def anonymize_plan(plan_json: Column, sql: Column) -> Column:
     """The statement's placeholders inside the string values of its plan."""
 
     def replace_values(names: Column) -> Column:
+        parts = F.regexp_extract_all(plan_json, F.lit(_JSON_TOKEN), 1)
         return F.concat_ws(
             "",
             F.transform(
-                F.regexp_extract_all(plan_json, F.lit(_JSON_TOKEN), 1),
+                parts,
                 lambda t: F.when(
-                    t.startswith('"') & ~t.rlike(r":\z"),
-                    F.concat(
-                        F.lit('"'),
-                        _apply_names(
-                            F.regexp_replace(
-                                F.regexp_replace(
-                                    F.substring(F.rtrim(t), F.lit(2), F.length(F.rtrim(t)) - 2),
-                                    SINGLE_QUOTED, "?",
-                                ),
-                                NUMBER, "?",
-                            ),
-                            names,
-                        ),
-                        F.lit('"'),
-                    ),
+                    t.startswith('"') & ~t.rlike(r":\z"), _anonymous_value(t, names)
                 ).otherwise(t),
             ),
         )
 
-    return F.when(plan_json.isNotNull(), let(name_map(sql), replace_values))
+    return F.when(
+        plan_json.isNotNull(), let(_names(F.lower(_bare(sql))), replace_values)
+    )
