@@ -6,6 +6,8 @@ that a query and its oracle start from the same rows.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ FROM {q}"""
 
 
 def _case_sql(part: str, tail: str) -> str:
-    name = "replace(p_name, ' ', ', ')"
+    name = "replace(p_name, ' ', '_')"
     brand = "lower(replace(p_brand, '#', '_'))"
     return f"""
 SELECT concat('SELECT ', {name}, ' FROM ', {brand}, ' JOIN ', lower(p_type),
@@ -201,7 +203,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _file(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        """A view of a given table; one with fewer splits than cores is spread out."""
+        table = self.given(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            table = table.repartition(cores)
+        view = f"given_{name}_{zlib.crc32(self.folder.encode())}"
+        table.createOrReplaceTempView(view)
+        return view
 
     def _over_queries(self, build) -> DataFrame:
         inner = f"({slow_query_sql(self._file('events'))}) q0"

@@ -35,15 +35,13 @@ REPLY_CONFIDENCE = 0.85
 INSIGHT_LENGTH = 500
 
 
-def _json_kind(reply: Column) -> Column:
+def _json_kind(boxed: Column) -> Column:
     """'object', 'other' for any other JSON value, or 'text' when it is no JSON."""
-    # Inside brackets, text after the first value no longer goes unnoticed.
-    boxed = F.try_parse_json(F.concat(F.lit("["), reply, F.lit("]")))
-    single = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    first = F.schema_of_variant(F.try_variant_get(boxed, "$[0]", "variant"))
+    first = F.try_variant_get(boxed, "$[0]", "variant")
+    second = F.try_variant_get(boxed, "$[1]", "variant")
     return (
-        F.when(boxed.isNull() | first.isNull() | ~single, F.lit("text"))
-        .when(first.startswith("OBJECT"), F.lit("object"))
+        F.when(boxed.isNull() | first.isNull() | second.isNotNull(), F.lit("text"))
+        .when(F.schema_of_variant(first).startswith("OBJECT"), F.lit("object"))
         .otherwise(F.lit("other"))
     )
 
@@ -56,11 +54,12 @@ def parse_ai_replies(
     A JSON object is read field by field.  Text that is no JSON is kept as an
     insight.  JSON of another kind falls back to the stub reply.
     """
-    staged = replies.where(F.col("reply").isNotNull()).select(
-        "slow_query_id",
-        "reply",
-        F.from_json("reply", REPLY).alias("r"),
-        _json_kind(F.col("reply")).alias("kind"),
+    # Inside brackets, text after the first value no longer goes unnoticed.
+    boxed = F.try_parse_json(F.concat(F.lit("["), "reply", F.lit("]")))
+    staged = (
+        replies.where(F.col("reply").isNotNull())
+        .select("slow_query_id", "reply", F.from_json("reply", REPLY).alias("r"), boxed.alias("boxed"))
+        .withColumn("kind", _json_kind(F.col("boxed")))
     )
     r, blank = F.col("r"), F.lit("")
     is_object, is_text = F.col("kind") == "object", F.col("kind") == "text"

@@ -35,7 +35,9 @@ def no_suggestions() -> Column:
 
 
 def _text(value: Column | str | None) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("string")
+    if isinstance(value, Column):
+        return value
+    return F.lit(value) if value is not None else F.lit(None).cast("string")
 
 
 def suggestion(
@@ -51,7 +53,7 @@ def suggestion(
 
 
 def suggestions(*items: Column) -> Column:
-    return F.array(*items).cast(SUGGESTIONS_TYPE)
+    return F.array(*items)
 
 
 @dataclass(frozen=True)
@@ -87,8 +89,10 @@ def fold(rules: Sequence[Rule]) -> dict[str, Column]:
     for rule in rules:
         fires = F.coalesce(rule.condition, F.lit(False))
         for name, value in rule.changes.items():
-            kind = "decimal(3,2)" if name == "confidence" else "string"
-            finding[name] = F.when(fires, _text(value).cast(kind)).otherwise(finding[name])
+            new = _text(value)
+            if name == "confidence":
+                new = new.cast("decimal(3,2)")
+            finding[name] = F.when(fires, new).otherwise(finding[name])
         if rule.raises_low:
             level = finding["improvement_level"]
             finding["improvement_level"] = F.when(

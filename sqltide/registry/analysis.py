@@ -86,12 +86,11 @@ FROM (SELECT *, CASE WHEN NOT json_valid(reply) THEN 'text' WHEN json_type(reply
 def _merged(t: Tables) -> DataFrame:
     parsed = replies.parse_ai_replies(t.replies())
     merged = replies.merge_ai(analysis.rule_findings(t.queries()), parsed)
-    return _finding_columns(merged.withColumn("confidence", F.col("confidence").cast("double"))).join(
-        merged.select(
-            "slow_query_id", "method", F.col("metadata.ai_provider").alias("provider"),
-            F.array_join("metadata.tables", ",").alias("tables"),
-        ),
-        "slow_query_id",
+    return merged.select(
+        "slow_query_id", "problem", "root_cause", items_text().alias("suggestions"),
+        "improvement_level", "estimated_speedup", F.col("confidence").cast("double").alias("confidence"),
+        "method", F.col("metadata.ai_provider").alias("provider"),
+        F.array_join("metadata.tables", ",").alias("tables"),
     )
 
 

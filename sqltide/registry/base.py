@@ -12,6 +12,7 @@ from sqltide.fixtures import AS_OF, Tables
 from sqltide.operators import learning
 from sqltide.plans.analysis import analyze
 from sqltide.schemas import FEEDBACK
+from sqltide.sources.store import durable
 
 
 @dataclass(frozen=True)
@@ -29,12 +30,18 @@ def evaluated(t: Tables) -> DataFrame:
     return learning.evaluate_effectiveness(analyses(t), t.queries())
 
 
+def stored_evaluation(t: Tables) -> DataFrame:
+    """The evaluation as a table, as the steps after it find it."""
+    return durable(evaluated(t))
+
+
 def no_feedback(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([], FEEDBACK)
 
 
-def feedback(t: Tables) -> DataFrame:
-    return learning.append_feedback(evaluated(t), no_feedback(t), AS_OF)
+def feedback(t: Tables, measured: DataFrame | None = None) -> DataFrame:
+    measured = evaluated(t) if measured is None else measured
+    return learning.append_feedback(measured, no_feedback(t), AS_OF)
 
 
 def items_text(suggestions: Column | str = "suggestions") -> Column:
