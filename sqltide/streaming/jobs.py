@@ -7,7 +7,7 @@ files that are there and ends.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions
+from sqltide.operators.stats import SOURCE
 from sqltide.plans.analysis import analyze
 from sqltide.schemas import MYSQL_SLOW_LOG, SLOW_QUERY
 from sqltide.sources.ingest import ingest_mysql_slow_log
@@ -161,12 +162,17 @@ def stream_trend(
     slide: str | None = None,
     session_gap: str | None = None,
     late_by: str = "1 day",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Count, mean and maximum duration per window of the capture time.
 
-    Tumbling, sliding with ``slide``, or sessions with ``session_gap``.  In
-    append mode a window comes out once no row ``late_by`` can change it.
+    Tumbling, sliding with ``slide``, or sessions with ``session_gap``, for
+    all rows or per ``by``; sessions are per source unless ``by`` says
+    otherwise.  In append mode a window comes out once no row ``late_by`` can
+    change it.
     """
+    if session_gap and not by:
+        by = SOURCE
     timed = _event_time(rows).withWatermark(_CAPTURED, late_by)
     if session_gap:
         period = F.session_window(_CAPTURED, session_gap)
@@ -174,13 +180,14 @@ def stream_trend(
         period = F.window(_CAPTURED, window, slide)
     total = F.sum("duration_ms").cast("double")
     return (
-        timed.groupBy(period.alias("period"))
+        timed.groupBy(period.alias("period"), *by)
         .agg(
             F.count(F.lit(1)).alias("query_count"),
             (total / F.count("duration_ms")).alias("avg_duration_ms"),
             F.max("duration_ms").cast("double").alias("max_duration_ms"),
         )
         .select(
+            *by,
             to_naive(F.col("period.start")).alias("start"),
             to_naive(F.col("period.end")).alias("end"),
             "query_count", "avg_duration_ms", "max_duration_ms",
