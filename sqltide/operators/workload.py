@@ -118,10 +118,11 @@ def antipattern_rewrites(users: DataFrame, orders: DataFrame) -> dict[str, tuple
     spark = users.sparkSession
     price = F.col("price").cast("decimal(18,2)")
     sql = {
-        # NOT IN against an anti join
+        # NOT IN against an anti join.  Keys that cannot be null: else Spark has
+        # to broadcast the whole subquery.
         "SUB-004": (
-            "SELECT id FROM {users} WHERE id NOT IN "
-            "(SELECT user_id FROM {orders} WHERE user_id IS NOT NULL)",
+            "SELECT id FROM {users} WHERE coalesce(id, -1) NOT IN "
+            "(SELECT coalesce(user_id, -2) FROM {orders})",
             users.join(orders, users["id"] == orders["user_id"], "left_anti").select("id"),
         ),
         # correlated subquery against a join with the aggregate
