@@ -118,11 +118,11 @@ def antipattern_rewrites(users: DataFrame, orders: DataFrame) -> dict[str, tuple
     spark = users.sparkSession
     price = F.col("price").cast("decimal(18,2)")
     sql = {
-        # NOT IN against an anti join.  Keys that cannot be null: else Spark has
-        # to broadcast the whole subquery.
+        # NOT EXISTS against an anti join.  NOT IN itself makes Spark broadcast
+        # the whole subquery, which does not hold for large tables.
         "SUB-004": (
-            "SELECT id FROM {users} WHERE coalesce(id, -1) NOT IN "
-            "(SELECT coalesce(user_id, -2) FROM {orders})",
+            "SELECT id FROM {users} u WHERE NOT EXISTS "
+            "(SELECT 1 FROM {orders} o WHERE o.user_id = u.id)",
             users.join(orders, users["id"] == orders["user_id"], "left_anti").select("id"),
         ),
         # correlated subquery against a join with the aggregate
