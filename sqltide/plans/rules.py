@@ -2,7 +2,7 @@
 
 A rule is a condition and what it changes.  A list of rules folds, in order,
 into one set of column expressions, so any number of rules costs one
-projection.
+projection.  The texts, levels and confidences of the rules are fixed values.
 """
 
 from __future__ import annotations

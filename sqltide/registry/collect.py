@@ -102,7 +102,7 @@ WHERE effectiveness = 'CONFIRMED' AND gain_ratio >= 0.3"""
 
 
 def _detail(t: Tables) -> DataFrame:
-    """The detail of every query: what the point lookup does, for all ids at once."""
+    """The detail of the first query by id."""
     first = t.queries().agg(F.min("id")).first()[0]
     detail = filters.query_detail(t.queries(), analyses(t), first)
     return detail.select(

@@ -16,7 +16,7 @@ from sqltide.streaming import jobs
 
 
 def _log_files(t: Tables) -> str:
-    """The slow log as extract files, one set per day, as a collector leaves them."""
+    """The slow log as extract files, as a collector leaves them."""
     path = scratch(t, "slow-log")
     log = t.mysql_log().withColumn("lock_time", F.make_dt_interval(secs=F.lit(0)))
     log.select(*MYSQL_SLOW_LOG.names).write.mode("overwrite").parquet(path)
