@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltide.llm import bpe, packing, token_counts
+from sqltide.llm import bpe, exact_dedup, line_dedup, packing, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,10 +28,23 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.cleaned_documents(table(spark, folder, "documents"))
+
+
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
+}
