@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltide.llm import bpe, exact_dedup, line_dedup, packing, token_counts
+from sqltide.llm import bpe, chat, exact_dedup, line_dedup, packing, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,6 +32,10 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.cleaned_documents(table(spark, folder, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.formatted_conversations(table(spark, folder, "conversations"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
 
@@ -41,10 +45,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
+    "op8_chat_formatting": chat.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
