@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from sqltide.llm import pretokens
 from sqltide.llm.vocabulary import Vocabulary, load
 
-MEMO = 300_000  # distinct pre-tokens remembered by a worker; beyond that it starts afresh
-BATCH_CHARS = 4_000_000
+MEMO = 150_000  # distinct pre-tokens remembered by a worker; beyond that it starts afresh
+BATCH_CHARS = 1_000_000
 
 
 def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
@@ -175,7 +175,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 def bpe_round_trip(documents: DataFrame, path: str) -> DataFrame:
     """The digest of ids and decoded text of every document."""
     texts = documents.select("doc_id", "text")
-    both = decode(encode(texts, path), path)
+    both = decode(encode(texts, path).drop("text"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
         "doc_id",

@@ -29,8 +29,8 @@ from sqltide.llm import pretokens
 from sqltide.llm.bpe import Encoder, merge, text_slices
 from sqltide.llm.vocabulary import Vocabulary, load
 
-MEMO = 300_000
-STATES = 60_000  # compiled states kept by a worker; beyond that it compiles afresh
+MEMO = 150_000
+STATES = 40_000  # compiled states kept by a worker; beyond that it compiles afresh
 START = -1
 
 
