@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltide.llm import bpe, chat, exact_dedup, line_dedup, packing, token_counts
+from sqltide.llm import bpe, chat, exact_dedup, line_dedup, packing, token_counts, winnowing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,10 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.compared_documents(table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), BYTE_BPE)
 
@@ -43,6 +47,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_winnowing": op4_winnowing,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
