@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltide.llm import bpe, chat, exact_dedup, line_dedup, packing, token_counts, winnowing
+from sqltide.llm import bpe, chat, exact_dedup, line_dedup, near_dedup, packing, quality, token_counts, toxicity, winnowing
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,10 +24,18 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compared_documents(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), BYTE_BPE)
 
@@ -40,6 +48,10 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, folder, "conversations"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
 
@@ -47,10 +59,13 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_near_dedup": op3_near_dedup,
     "op4_winnowing": op4_winnowing,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
