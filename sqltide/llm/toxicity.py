@@ -3,7 +3,7 @@
 Only toxic labels count; other texts, labelled or not, are unlabelled.  The
 risk of calling unlabelled texts toxic is corrected by the share of toxic
 texts, the class prior, and kept from falling below zero.  The classifier is
-linear over the presence of words and word beginnings.
+linear over how often words and word beginnings occur for the length of the text.
 """
 
 from __future__ import annotations
@@ -25,17 +25,32 @@ SAMPLE = 20_000  # toxic texts, and unlabelled texts, to learn from, at most
 THRESHOLD = 0.5
 PREFIXES = (6, 7, 8, 9, 10)  # bytes of a word's beginning
 FEATURES = 5_000  # those most telling of toxic texts
+SHORT, POWER, SCALE = 50, 0.75, 30.0
 LIFT = 3.0  # share among toxic texts over share among unlabelled ones, at least
-ROUNDS, RATE, DECAY = 400, 0.05, 1e-4
+ROUNDS, RATE, DECAY = 600, 0.1, 1e-5
 
 _BLANK = np.ones(256, dtype=bool)
 _BLANK[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and word beginning, and the text it is in."""
+@dataclass(frozen=True)
+class Features:
+    """Distinct features of each text: hash of a word or word beginning, text, and density."""
+
+    hash: np.ndarray
+    owner: np.ndarray
+    value: np.ndarray
+
+
+def features(texts: list[str], known: np.ndarray | None = None) -> Features:
+    """The features of texts, or those of them that are ``known`` (sorted; then by place in it).
+
+    The value is the logarithm of one plus a density: occurrences over a power
+    of the number of words, where a text counts as ``SHORT`` words at least.
+    """
     words = Words(texts, _BLANK)
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    n_words = np.diff(words.first)
+    owner = np.repeat(np.arange(len(texts)), n_words)
     size = words.ends - words.starts
     hashes, owners = [words.hashes()], [owner]
     for n in PREFIXES:
@@ -43,7 +58,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A beginning is another feature than the word of the same bytes.
         hashes.append(words.hashes(n)[longer] ^ np.uint64(1))
         owners.append(owner[longer])
-    return np.concatenate(hashes), np.concatenate(owners)
+    found, of = np.concatenate(hashes), np.concatenate(owners)
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[at] == found
+        found, of = at[hit], of[hit]
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(found)))
+    value = np.log1p(SCALE * count / np.maximum(n_words[of[new]], SHORT) ** POWER)
+    return Features(found[new], of[new], value)
 
 
 @dataclass(frozen=True)
@@ -53,19 +79,18 @@ class Model:
     bias: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        hashes, owner = features(texts)
         total = np.full(len(texts), self.bias)
-        if len(self.known) and len(hashes):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            found = self.known[at] == hashes
-            # Presence, not counts: a pair of text and feature counts once.
-            pairs = np.unique(owner[found] * len(self.known) + at[found])
-            np.add.at(total, pairs // len(self.known), self.weight[pairs % len(self.known)])
+        if len(self.known) and texts:
+            found = features(texts, self.known)
+            total += np.bincount(found.owner, found.value * self.weight[found.hash], len(texts))
         return 1 / (1 + np.exp(-total))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Minimises the non-negative risk on the logistic loss over feature sets.
+Row = tuple[np.ndarray, np.ndarray]  # feature hashes of a text and their values
+
+
+def fit(toxic: list[Row], unlabelled: list[Row], prior: float) -> Model:
+    """Minimises the non-negative risk on the logistic loss.
 
     The risk is prior * R(toxic as toxic) + max(0, R(unlabelled as clean) -
     prior * R(toxic as clean)).  While the second part is negative, its
@@ -76,8 +101,8 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) ->
     flat = float(np.log(prior / (1 - prior)))
     if not toxic or not unlabelled:
         return Model(np.empty(0, np.uint64), np.empty(0), flat)
-    seen, in_toxic = np.unique(np.concatenate(toxic), return_counts=True)
-    every, in_unlabelled = np.unique(np.concatenate(unlabelled), return_counts=True)
+    seen, in_toxic = np.unique(np.concatenate([f for f, _ in toxic]), return_counts=True)
+    every, in_unlabelled = np.unique(np.concatenate([f for f, _ in unlabelled]), return_counts=True)
     at = np.minimum(np.searchsorted(every, seen), max(len(every) - 1, 0))
     elsewhere = np.where(every[at] == seen, in_unlabelled[at], 0) if len(every) else np.zeros(len(seen))
     share, other = in_toxic / len(toxic), (elsewhere + 1) / (len(unlabelled) + 1)
@@ -87,32 +112,33 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) ->
     if not len(known):
         return Model(known, np.empty(0), flat)
 
-    def columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        hit = known[at] == values
-        return owner[hit], at[hit]
+    def columns(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, value = (np.concatenate(x) for x in zip(*rows))
+        owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[at] == found
+        return owner[hit], at[hit], value[hit]
 
-    p_row, p_col = columns(toxic)
-    u_row, u_col = columns(unlabelled)
+    toxic_table, unlabelled_table = columns(toxic), columns(unlabelled)
     theta = np.zeros(len(known) + 1)
     theta[-1] = flat
     first, second = np.zeros_like(theta), np.zeros_like(theta)
 
-    def outputs(row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(row, theta[col], n) + theta[-1]
+    def outputs(table: tuple, n: int) -> np.ndarray:
+        row, column, value = table
+        return np.bincount(row, value * theta[column], n) + theta[-1]
 
-    def gradient(row: np.ndarray, col: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(col, slope[row], len(known)), slope.sum()) / len(slope)
+    def gradient(table: tuple, slope: np.ndarray) -> np.ndarray:
+        row, column, value = table
+        return np.append(np.bincount(column, value * slope[row], len(known)), slope.sum()) / len(slope)
 
     for step in range(1, ROUNDS + 1):
-        p, u = outputs(p_row, p_col, len(toxic)), outputs(u_row, u_col, len(unlabelled))
+        p, u = outputs(toxic_table, len(toxic)), outputs(unlabelled_table, len(unlabelled))
         sp, su = 1 / (1 + np.exp(-p)), 1 / (1 + np.exp(-u))
         clean = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        clean_slope = gradient(u_row, u_col, su) - prior * gradient(p_row, p_col, sp)
+        clean_slope = gradient(unlabelled_table, su) - prior * gradient(toxic_table, sp)
         if clean >= 0:
-            slope = prior * gradient(p_row, p_col, sp - 1) + clean_slope
+            slope = prior * gradient(toxic_table, sp - 1) + clean_slope
         else:
             slope = -clean_slope
         slope[:-1] += DECAY * theta[:-1]
@@ -140,21 +166,23 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, run_texts in text_slices(batch.column(0)):
-                hashes, owner = features(run_texts)
-                order = np.lexsort((hashes, owner))
-                hashes, owner = hashes[order], owner[order]
-                new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
-                ends = np.cumsum(np.bincount(owner[new], minlength=len(run_texts)))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(hashes[new].view(np.int64))
-                )
-                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(start, len(run_texts))], ["found", "label"])
-
-    got = texts.mapInArrow(run, "found array<long>, label int").toArrow()
-    sets = [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in got.column("found")]
-    label = got.column("label").to_pylist()
-    ordered = sorted(zip(label, sets), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return fit([s for y, s in ordered if y == 1], [s for y, s in ordered if y == 0], prior)
+                found = features(run_texts)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(found.owner, minlength=len(run_texts)))])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
+                    for x in (found.hash.view(np.int64), found.value)
+                ]
+                label = batch.column(1).slice(start, len(run_texts))
+                yield pa.RecordBatch.from_arrays([*lists, label], ["found", "value", "label"])
+
+    got = texts.mapInArrow(run, "found array<long>, value array<double>, label int").toArrow()
+    rows = [
+        (y, np.asarray(f.values, dtype=np.int64).view(np.uint64), np.asarray(v.values, dtype=np.float64))
+        for f, v, y in zip(got.column("found"), got.column("value"), got.column("label").to_pylist())
+    ]
+    # Rows arrive in any order; sums of floats depend on it.
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    return fit([(f, v) for y, f, v in rows if y == 1], [(f, v) for y, f, v in rows if y == 0], prior)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
