@@ -23,33 +23,43 @@ BATCH_CHARS = 1_000_000
 def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
     """Ids of one pre-token.
 
-    The symbols form a doubly linked list.  A heap holds (rank, position) of
-    every adjacent pair that can merge, so the lowest rank comes first and the
-    leftmost among equals.  A merge makes the pairs around it new; entries of
-    pairs that are gone stay in the heap and are skipped when they come up.
+    The symbols form a doubly linked list.  A heap holds the merge and the
+    position of every adjacent pair that can merge, in one whole number, so
+    the lowest rank comes first and the leftmost among equals.  A merge makes the
+    pairs around it new; entries of pairs that are gone stay in the heap and
+    are skipped when they come up.
     """
-    ids = [vocabulary.byte_ids[b] for b in piece]
+    of_byte, merge_of = vocabulary.byte_ids, vocabulary.merges.get
+    ids = [of_byte[b] for b in piece]
     n = len(ids)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    merges = vocabulary.merges
     heap = []
     for i in range(n - 1):
-        if found := merges.get((ids[i], ids[i + 1])):
-            heap.append((found[0], i, found[1]))
+        found = merge_of(ids[i] << 20 | ids[i + 1])
+        if found is not None:
+            heap.append(found << 32 | i)
+    if not heap:
+        return ids
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     heapq.heapify(heap)
     while heap:
-        rank, i, merged = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        i, found = entry & 0xFFFFFFFF, entry >> 32
         j = after[i]
-        if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != (rank, merged):
+        if ids[i] < 0 or j >= n or merge_of(ids[i] << 20 | ids[j]) != found:
             continue  # stale
-        ids[i], ids[j] = merged, -1
+        ids[i] = merged = found & 0xFFFFF
+        ids[j] = -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if found := merges.get((merged, ids[k])):
-                heapq.heappush(heap, (found[0], i, found[1]))
-        if (h := before[i]) >= 0 and (found := merges.get((ids[h], merged))):
-            heapq.heappush(heap, (found[0], h, found[1]))
+            found = merge_of(merged << 20 | ids[k])
+            if found is not None:
+                heapq.heappush(heap, found << 32 | i)
+        h = before[i]
+        if h >= 0:
+            found = merge_of(ids[h] << 20 | merged)
+            if found is not None:
+                heapq.heappush(heap, found << 32 | h)
     return [x for x in ids if x >= 0]
 
 
@@ -59,6 +69,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = load(path)
         self.memo: dict[bytes, list[int]] = {}
+        self.memory = MEMO
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
@@ -77,20 +88,23 @@ class Encoder:
     def ids_of(self, piece: bytes) -> list[int]:
         found = self.memo.get(piece)
         if found is None:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.memory:
                 self.memo.clear()
             found = merge(piece, self.vocabulary)
             if len(piece) <= 64:
                 self.memo[piece] = found
         return found
 
+    def lists(self, distinct: list[bytes]) -> list[list[int]]:
+        return [self.ids_of(p) for p in distinct]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more offset than texts)."""
         if not texts:
             return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         parts, after, counts = self.units(texts)
         pieces = pretokens.split(parts)
-        lists = [self.ids_of(p) for p in pieces.distinct]
+        lists = self.lists(pieces.distinct)
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter((x for ids in lists for x in ids), dtype=np.int32, count=int(sizes.sum()))
         origin = np.cumsum(sizes) - sizes

@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sqltide.llm.bpe import encoder, text_slices
+from sqltide.llm.bpe import text_slices
+from sqltide.llm.lockstep import lockstep_encoder
 from sqltide.llm.shared import stored
 
 LENGTH, END = 2048, 1
@@ -28,7 +29,7 @@ def encoded_stream(df: DataFrame, path: str, end: int = END, key: str = "doc_id"
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        tool, part, before = lockstep_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start, texts in text_slices(batch.column(1)):
                 values, offsets = tool.encode(texts)
