@@ -30,7 +30,7 @@ from sqltide.llm.bpe import Encoder, merge, text_slices
 from sqltide.llm.vocabulary import Vocabulary, load
 
 MEMO = 150_000
-STATES = 40_000  # compiled states kept by a worker; beyond that it compiles afresh
+STATES = 200_000  # compiled states kept by a worker; beyond that it compiles afresh
 START = -1
 
 
@@ -57,8 +57,8 @@ class Trie:
 class State:
     __slots__ = ("items", "next")
 
-    def __init__(self, items: tuple[tuple[int, int, int], ...]):
-        self.items = items  # (trie node, last token before, tokens up to there minus tokens now)
+    def __init__(self, items: tuple[int, ...]):
+        self.items = items  # by threes: trie node, last token before, tokens up to there minus tokens now
         self.next: dict[int, tuple[State, int]] = {}
 
 
@@ -73,16 +73,16 @@ class CountTransducer:
         self.reset()
 
     def reset(self) -> None:
-        first = ((0, START, 0),)
+        first = (0, START, 0)
         self.first = State(first)
         self.states = {first: self.first}
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens as they are when they stand side by side."""
-        key = (left, right)
+        key = left << 20 | right if left != START else right
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) >= 4 * STATES:
+            if len(self.apart) >= STATES:
                 self.apart.clear()
             tokens = self.vocabulary.tokens
             alone = left == START
@@ -93,18 +93,20 @@ class CountTransducer:
 
     def compile(self, state: State, byte: int) -> tuple[State, int]:
         """The transition of a state on a byte."""
-        children, token = self.trie.children, self.trie.token
+        children, token, items = self.trie.children, self.trie.token, state.items
         grown, change, last = [], None, START
-        for node, before, count in state.items:
-            child = children[node].get(byte)
+        for i in range(0, len(items), 3):
+            child = children[items[i]].get(byte)
             if child is None:
                 continue
+            before, count = items[i + 1], items[i + 2]
             if change is None and token[child] != START and self.stays_apart(before, token[child]):
                 change, last = count + 1, token[child]
             if children[child]:
-                grown.append((child, before, count))
+                grown += (child, before, count)
         assert change is not None, "single bytes are tokens, so some token ends here"
-        items = (*((n, b, c - change) for n, b, c in grown), (0, last, 0))
+        grown[2::3] = [count - change for count in grown[2::3]]
+        items = (*grown, 0, last, 0)
         after = self.states.get(items)
         if after is None:
             after = self.states[items] = State(items)
