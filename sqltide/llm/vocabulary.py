@@ -21,7 +21,7 @@ def byte_alphabet() -> dict[str, int]:
 @dataclass
 class Vocabulary:
     tokens: list[bytes]  # by id
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair of ids: rank, merged id
+    merges: dict[int, int]  # left id << 20 | right id: rank << 20 | merged id
     byte_ids: list[int]
     special: dict[str, int] = field(default_factory=dict)
 
@@ -42,6 +42,7 @@ def load(path: str) -> Vocabulary:
         model.get("dropout"),
         model.get("continuing_subword_prefix"),
         model.get("end_of_word_suffix"),
+        len(model["vocab"]) >= 1 << 20,
         any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]),
     ]
     if any(odd):
@@ -57,6 +58,6 @@ def load(path: str) -> Vocabulary:
     merges = {}
     for rank, pair in enumerate(model["merges"]):
         left, right = pair if isinstance(pair, list) else pair.split(" ")
-        merges[ids[left], ids[right]] = (rank, ids[left + right])
+        merges[ids[left] << 20 | ids[right]] = rank << 20 | ids[left + right]
     of_byte = {b: ids[c] for c, b in alphabet.items()}
     return Vocabulary(tokens, merges, [of_byte[b] for b in range(256)], special)

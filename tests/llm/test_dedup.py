@@ -191,3 +191,10 @@ def test_passages_keep_rows_and_columns(spark):
     got = sorted((r.doc_id or -1, r.text, r.n_removed) for r in out.collect())
     assert got == [(-1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "d", 3)]
     assert line_dedup.cleaned_documents(df.limit(0)).collect() == []
+
+
+def test_the_filter_loses_no_row_and_drops_most_others(spark):
+    rows = spark.range(20_000).select("id", F.lit("x").alias("text"))
+    got = [r.id for r in near_dedup.perhaps_in(rows, spark.range(0, 20_000, 97)).collect()]
+    assert set(range(0, 20_000, 97)) <= set(got) and len(got) < 300
+    assert near_dedup.perhaps_in(rows, spark.range(0)).collect() == []
