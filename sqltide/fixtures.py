@@ -75,11 +75,13 @@ SELECT full_sql AS query, count(*) AS calls,
   CAST(coalesce(sum(rows_returned), 0) AS bigint) AS rows,
   CAST(coalesce(sum(rows_examined), 0) AS bigint)
     - CAST(floor(coalesce(sum(rows_examined), 0) / 2) AS bigint) AS shared_blks_hit,
-  CAST(floor(coalesce(sum(rows_examined), 0) / 2) AS bigint) AS shared_blks_read
-FROM (SELECT full_sql, duration_ms, rows_returned, rows_examined FROM {q}
+  CAST(floor(coalesce(sum(rows_examined), 0) / 2) AS bigint) AS shared_blks_read,
+  '[' || max(plan_json) || ']' AS plan_json
+FROM (SELECT full_sql, duration_ms, rows_returned, rows_examined, plan_json FROM {q}
       WHERE source_db_type = 'postgres'
-      UNION ALL SELECT 'SELECT * FROM PG_CATALOG.pg_class', CAST(90000 AS decimal(12,3)), 1, 1
-      UNION ALL SELECT 'select query from pg_stat_statements', CAST(80000 AS decimal(12,3)), 1, 1) s
+      UNION ALL SELECT 'SELECT * FROM PG_CATALOG.pg_class', CAST(90000 AS decimal(12,3)), 1, 1, NULL
+      UNION ALL SELECT 'select query from pg_stat_statements', CAST(80000 AS decimal(12,3)), 1, 1, NULL
+      UNION ALL SELECT concat('VACUUM ', max(id)), CAST(2000000000 AS decimal(18,3)), 1, 1, NULL FROM {q}) s
 GROUP BY full_sql"""
 
 
@@ -138,9 +140,9 @@ def replies_sql(q: str = "q0") -> str:
     return f"""
 SELECT id AS slow_query_id,
   CASE
-    WHEN full_sql LIKE 'SELECT *%' THEN concat('{{"root_cause": "cause ', id, '", "problem_summary": "problem", "index_recommendations": [{{"sql": "CREATE INDEX i ON orders(user_id)", "rationale": "filter", "impact": "10x"}}], "query_optimizations": [{{"type": "rewrite", "description": "no star", "example": "SELECT id"}}], "improvement_level": "CRITICAL", "estimated_speedup": "50x", "confidence": 0.95}}')
+    WHEN full_sql LIKE 'SELECT *%' THEN concat('{{"root_cause": "cause ', id, '", "problem_summary": "problem", "index_recommendations": [{{"sql": "CREATE INDEX i ON orders(user_id)", "rationale": "filter", "impact": "10x"}}], "query_optimizations": [{{"type": "rewrite", "description": "no star", "example": "SELECT id"}}], "improvement_level": "CRITICAL", "estimated_speedup": "50x", "confidence": ', CASE WHEN id LIKE '%7' THEN '95' ELSE '0.95' END, '}}')
     WHEN full_sql LIKE 'SELECT u%' THEN '{{"index_recommendations": [], "problem_summary": ""}}'
-    WHEN full_sql LIKE 'INSERT%' THEN concat('The statement ', full_sql, ' is {{not JSON')
+    WHEN full_sql LIKE 'INSERT%' THEN concat('The statement ', full_sql, ' is {{not JSON', repeat(' and so on', 60))
     WHEN full_sql LIKE 'UPDATE%' THEN '["a list"]'
     ELSE NULL
   END AS reply
@@ -165,14 +167,14 @@ def cases_sql(part: str = "part") -> str:
     return f"""
 SELECT concat('k-', CAST(part_key AS string)) AS id, fingerprint, db_type, fingerprint AS full_sql,
   CASE WHEN db_type = 'mysql' THEN concat('{{"query_block": {{"table": {{"table_name": "brand", "access_type": "',
-      CASE WHEN price > 1000 THEN 'ALL' ELSE 'ref' END, '"}}}}}}')
+      CASE WHEN price > 960 THEN 'ALL' ELSE 'ref' END, '"}}}}}}')
     ELSE NULL END AS plan_json,
-  CASE WHEN price > 1050 THEN 'Sequential scan detected' WHEN price > 950 THEN 'Full table scan detected'
+  CASE WHEN price > 975 THEN 'Sequential scan detected' WHEN price > 950 THEN 'Full table scan detected'
     ELSE 'Slow query detected' END AS problem,
   price AS old_duration_ms,
   1000.0 AS new_duration_ms,
-  (price - 900) / 300 AS gain_ratio,
-  CASE WHEN price > 990 THEN 'CONFIRMED' WHEN price > 920 THEN 'PENDING' ELSE 'FAILED' END AS effectiveness
+  (price - 900) / 150 AS gain_ratio,
+  CASE WHEN price > 940 THEN 'CONFIRMED' WHEN price > 920 THEN 'PENDING' ELSE 'FAILED' END AS effectiveness
 FROM ({_case_sql(part, "' = ?'")}) c"""
 
 
@@ -203,13 +205,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _file(self, name: str) -> str:
-        """A view of a given table; one with fewer splits than cores is spread out."""
-        table = self.given(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            table = table.repartition(cores)
+        """A view of a given table."""
         view = f"given_{name}_{zlib.crc32(self.folder.encode())}"
-        table.createOrReplaceTempView(view)
+        self.given(name).createOrReplaceTempView(view)
         return view
 
     def _over_queries(self, build) -> DataFrame:

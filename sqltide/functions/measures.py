@@ -31,7 +31,7 @@ def interval_to_ms(interval: Column) -> Column:
         + F.extract(F.lit("MINUTE"), interval) * 60
         + F.extract(F.lit("SECOND"), interval)
     )
-    return (seconds * 1000).cast("decimal(12,3)")
+    return (seconds * 1000).cast("decimal(18,3)")
 
 
 def plain_number(value: Column, digits: int) -> Column:

@@ -40,32 +40,17 @@ _ROOT = T.StructType(
     ]
 )
 
-# Keys under which a plan object holds one nested object, or a list of them.
-_SINGLE_CHILD = (
-    "query_block", "table", "ordering_operation", "grouping_operation",
-    "duplicates_removal", "windowing", "buffer_result", "union_result",
-    "materialized_from_subquery", "Plan",
-)
-_CHILD_LIST = (
-    "nested_loop", "attached_subqueries", "query_specifications",
-    "optimized_away_subqueries", "select_list_subqueries", "order_by_subqueries",
-    "group_by_subqueries", "having_subqueries", "Plans",
-)
-# A plan object: its own facts, and its children as text.
-_OBJECT = T.StructType(
-    [
-        T.StructField("table_name", T.StringType()),
-        T.StructField("access_type", T.StringType()),
-        T.StructField("rows_examined_per_scan", T.DoubleType()),
-        T.StructField("using_filesort", T.BooleanType()),
-        T.StructField("using_temporary_table", T.BooleanType()),
-        T.StructField("Node Type", T.StringType()),
-        T.StructField("Relation Name", T.StringType()),
-        T.StructField("Plan Rows", T.DoubleType()),
-    ]
-    + [T.StructField(name, T.StringType()) for name in _SINGLE_CHILD]
-    + [T.StructField(name, T.ArrayType(T.StringType())) for name in _CHILD_LIST]
-)
+# The facts of a plan object that the findings look at.
+_FACTS = {
+    "table_name": "string",
+    "access_type": "string",
+    "rows_examined_per_scan": "double",
+    "using_filesort": "boolean",
+    "using_temporary_table": "boolean",
+    "Node Type": "string",
+    "Relation Name": "string",
+    "Plan Rows": "double",
+}
 
 
 def has_plan(plan_json: Column) -> Column:
@@ -99,24 +84,42 @@ def plan_features(plan_json: Column, db_type: Column) -> Column:
     )
 
 
-def _children(node: Column) -> Column:
-    """The child objects of a parsed plan object, parsed."""
-    none = F.array().cast("array<string>")
-    single = F.array(*[node[name] for name in _SINGLE_CHILD])
-    lists = [F.coalesce(node[name], none) for name in _CHILD_LIST]
-    texts = F.array_compact(F.concat(single, *lists))
-    return F.transform(texts, lambda child: F.from_json(child, _OBJECT))
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _children(value: Column) -> Column:
+    """The objects and lists inside an object or list, under whatever name."""
+    none = F.array().cast("array<variant>")
+    inside = F.when(
+        _is(value, "OBJECT"), F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+    ).otherwise(F.try_variant_get(value, "$", "array<variant>"))
+    return F.filter(
+        F.coalesce(inside, none), lambda v: _is(v, "OBJECT") | _is(v, "ARRAY")
+    )
+
+
+def _depth(plan_json: Column) -> Column:
+    """How deep objects and lists are nested, from the brackets outside strings."""
+    bare = F.regexp_replace(plan_json, r'"(?:[^"\\]++|\\.)*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
+
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, step, lambda s: F.greatest(s["most"], F.lit(1)))
 
 
 def plan_node_list(plan_json: Column) -> Column:
     """Every plan object at any depth, as an array of structs.
 
-    Each object is parsed once, level by level inside one expression.  The
-    number of levels cannot exceed the number of opening braces, so no plan is
-    cut short.
+    Children are found by being objects or lists, not by their names.  The plan
+    is parsed once and walked level by level inside one expression, as many
+    levels as it has.
     """
-    depth = F.length(plan_json) - F.length(F.replace(plan_json, F.lit("{"), F.lit("")))
-    root = F.array(F.from_json(plan_json, _OBJECT))
+    root = F.array_compact(F.array(F.try_parse_json(plan_json)))
     start = F.struct(root.alias("frontier"), root.alias("seen"))
 
     def next_level(state: Column, _: Column) -> Column:
@@ -127,4 +130,11 @@ def plan_node_list(plan_json: Column) -> Column:
             ),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), depth), start, next_level, lambda s: s["seen"])
+    levels = F.sequence(F.lit(1), _depth(plan_json))
+    nodes = F.aggregate(levels, start, next_level, lambda s: s["seen"])
+    return F.transform(
+        F.filter(nodes, lambda v: _is(v, "OBJECT")),
+        lambda v: F.struct(
+            *[F.try_variant_get(v, f"$['{name}']", kind).alias(name) for name, kind in _FACTS.items()]
+        ),
+    )

@@ -201,6 +201,15 @@ SQL_KEYWORDS = tuple(
     else end asc desc into values set table index view with recursive over partition
     rows range interval true false any some natural lateral returning default
     primary key foreign references unique
+    add column constraint check if replace truncate rename to cascade restrict
+    ilike similar escape regexp rlike collate for of nowait skip locked share only
+    nulls first last fetch next row current unbounded preceding following filter
+    within lock mode tablesample explain analyze call grant revoke begin commit
+    rollback duplicate ignore conflict do nothing straight_join force use
+    int integer bigint smallint tinyint numeric decimal float double real precision
+    char varchar text blob boolean bool date time timestamp datetime json uuid
+    year month day hour minute second zone unsigned auto_increment
+    current_date current_time current_timestamp temporary temp materialized
     """.split()
 )
 
@@ -285,6 +294,20 @@ def anonymize_sql(sql: Column) -> Column:
     )
 
 
+# Words that plans use for operators, access types and options.
+PLAN_WORDS = tuple(
+    """
+    all index range ref eq_ref const system ref_or_null index_merge unique_subquery index_subquery fulltext
+    seq scan only bitmap heap tid sort incremental hash merge nested loop join aggregate group
+    gather append materialize memoize result limit unique setop modifytable cte subquery function
+    worktable lockrows windowagg inner outer left right full semi anti plain sorted hashed mixed
+    partial finalize simple forward backward quicksort top n heapsort external disk memory
+    outer inner parent member initplan subplan using where filesort temporary condition
+    asc desc true false null unknown yes no primary
+    """.split()
+)
+
+
 def _anonymous_value(token: Column, names: Column) -> Column:
     """A quoted JSON string with its literals and names replaced."""
     quoted = F.rtrim(token)
@@ -294,20 +317,39 @@ def _anonymous_value(token: Column, names: Column) -> Column:
 
 
 def anonymize_plan(plan_json: Column, sql: Column) -> Column:
-    """The statement's placeholders inside the string values of its plan."""
+    """A plan without names and literals.
+
+    In its string values the statement's names become the statement's
+    placeholders; any other word that is no keyword and no word of plans
+    (indexes, databases, aliases) becomes ``name_i``.
+    """
+    parts = F.regexp_extract_all(plan_json, F.lit(_JSON_TOKEN), 1)
+
+    def is_value(token: Column) -> Column:
+        return token.startswith('"') & ~token.rlike(r":\z")
+
+    def own_words(names: Column) -> Column:
+        words = F.flatten(
+            F.transform(
+                F.filter(parts, is_value),
+                lambda t: F.filter(
+                    _tokens(F.lower(F.regexp_replace(t, SINGLE_QUOTED, "?"))),
+                    lambda w: _is_word(w) & ~w.isin(*SQL_KEYWORDS) & ~w.isin(*PLAN_WORDS),
+                ),
+            )
+        )
+        others = F.array_except(F.array_distinct(words), F.map_keys(names))
+        return F.map_concat(names, F.map_from_entries(_numbered(others, "name_")))
 
     def replace_values(names: Column) -> Column:
-        parts = F.regexp_extract_all(plan_json, F.lit(_JSON_TOKEN), 1)
         return F.concat_ws(
             "",
             F.transform(
-                parts,
-                lambda t: F.when(
-                    t.startswith('"') & ~t.rlike(r":\z"), _anonymous_value(t, names)
-                ).otherwise(t),
+                parts, lambda t: F.when(is_value(t), _anonymous_value(t, names)).otherwise(t)
             ),
         )
 
     return F.when(
-        plan_json.isNotNull(), let(_names(F.lower(_bare(sql))), replace_values)
+        plan_json.isNotNull(),
+        let(_names(F.lower(_bare(sql))), lambda names: let(own_words(names), replace_values)),
     )

@@ -21,8 +21,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
-def _new_rows(batch: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
-    known = store.select(*keys).distinct()
+def _new_rows(batch: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     matches = [batch[k].eqNullSafe(known[k]) for k in keys]
     condition = matches[0]
     for match in matches[1:]:
@@ -37,10 +36,11 @@ def dedup_executions(batch: DataFrame, store: DataFrame) -> DataFrame:
     host, count as one execution, since the hash is of the pattern.
     """
     unique = first_per_key(batch, EXECUTION_KEY, [F.col("id")])
-    return _new_rows(unique, store, EXECUTION_KEY)
+    return _new_rows(unique, store.select(*EXECUTION_KEY), EXECUTION_KEY)
 
 
 def dedup_patterns(batch: DataFrame, store: DataFrame) -> DataFrame:
     """Patterns not in the store yet; the slowest row of equal ones."""
     unique = first_per_key(batch, PATTERN_KEY, [F.col("duration_ms").desc(), F.col("id")])
-    return _new_rows(unique, store, PATTERN_KEY)
+    # The store holds a pattern many times.
+    return _new_rows(unique, store.select(*PATTERN_KEY).distinct(), PATTERN_KEY)

@@ -46,9 +46,10 @@ def representative_query(q: DataFrame) -> DataFrame:
 
 
 def schema_context(q: DataFrame, latest: DataFrame) -> DataFrame:
-    """Per query the known tables it reads, with row counts and index names.
+    """Per query the tables it reads, with row counts and index names.
 
-    ``latest`` is the flat output of ``latest_db_metadata``.
+    ``latest`` is the flat output of ``latest_db_metadata``.  A table that it
+    lacks has nulls; a query without tables has an empty list.
     """
     source = ["source_db_type", "source_db_host", "source_db_name"]
     used = q.select(
@@ -57,6 +58,18 @@ def schema_context(q: DataFrame, latest: DataFrame) -> DataFrame:
         F.explode(text.extract_tables(text.decode_hex_sql(F.col("full_sql")))).alias("table_name"),
     )
     # One database and table may be read by a third of all queries.
-    found = lookup_join(used, latest, [*source, "table_name"], "id")
-    entry = F.struct("table_name", "row_count", "indexes")
-    return found.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("schema_context"))
+    keys = [*source, "table_name"]
+    known = lookup_join(used, latest, keys, "id").select("id", "table_name", "row_count", "indexes")
+    # All tables of all queries; a known one replaces its name alone.
+    entry = F.when(F.col("table_name").isNotNull(), F.struct("table_name", "row_count", "indexes"))
+    nothing = F.lit(None)
+    named = q.select(
+        "id",
+        F.explode_outer(text.extract_tables(text.decode_hex_sql(F.col("full_sql")))).alias("table_name"),
+        nothing.cast("bigint").alias("row_count"),
+        nothing.cast("array<string>").alias("indexes"),
+    )
+    every = known.unionByName(named).groupBy("id", "table_name").agg(
+        F.max("row_count").alias("row_count"), F.max("indexes").alias("indexes")
+    )
+    return every.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("schema_context"))

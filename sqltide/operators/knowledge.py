@@ -76,7 +76,7 @@ def build_backlog(
         *CASE_KEY,
         text.anonymize_sql(sql).alias("full_sql"),
         text.anonymize_plan(F.col("plan_json"), sql).alias("plan_json"),
-        "schema_context",
+        text.anonymize_plan(F.col("schema_context"), sql).alias("schema_context"),
         "problem",
         "suggestions",
         F.lit(None).cast("string").alias("applied_fix"),

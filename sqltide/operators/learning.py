@@ -69,8 +69,11 @@ def evaluate_effectiveness(
     """All analyses with gain and effectiveness brought up to date.
 
     Only PENDING ones are measured.  Adds fingerprint, old and new duration
-    of those that had at least ``min_obs`` later executions.
+    of those that had at least ``min_obs`` later executions, of the ``last_n``
+    that are looked at.
     """
+    if min_obs > last_n:
+        raise ValueError("min_obs is at most last_n")
     pending = a.where(F.col("effectiveness") == "PENDING")
     total = F.aggregate(
         "after", F.lit(0.0), lambda acc, e: acc + e["duration_ms"].cast("double")

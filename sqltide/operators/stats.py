@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.functions import measures, text
@@ -14,8 +14,12 @@ from sqltide.operators.filters import filter_queries
 from sqltide.operators.joins import PATTERN, representative_query
 
 SOURCE = ("source_db_type", "source_db_host")
-# The hash stands for the pattern text wherever rows of a pattern are moved.
-_PATTERN_HASH = ["sql_hash", *SOURCE]
+
+
+def _pattern_key() -> Column:
+    """A key of pattern and source that is never null, so that groups of nulls join as well."""
+    parts = [F.coalesce(c, F.lit("\x00")) for c in PATTERN]
+    return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
 
 
 def _mean(total: Column, count: Column) -> Column:
@@ -34,7 +38,9 @@ def pattern_summary(
     """Executions per pattern and source, with the exact 95th percentile.
 
     ``id`` is the newest execution of the pattern, whatever its status.  The
-    highest improvement level is by severity.
+    highest improvement level is by severity.  Unknown durations count as
+    executions but not in the mean and percentile; a pattern or source that is
+    null is a group as well.
     """
     scoped = filter_queries(q, db_type, host, status)
     levels = a.select(
@@ -42,54 +48,56 @@ def pattern_summary(
         measures.improvement_rank(F.col("improvement_level")).alias("level_rank"),
     )
     rows = scoped.select(
-        "id", *PATTERN, "sql_hash", "duration_ms", "captured_at", "status"
+        _pattern_key().alias("_key"), "id", *PATTERN, "duration_ms", "captured_at", "status"
     ).join(levels, "id", "left")
-    buckets = rows.groupBy(
-        *PATTERN, "sql_hash", percentile.bucket_of(F.col("duration_ms")).alias("_bucket")
-    ).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.sum("duration_ms").alias("_sum"),
-        F.min("duration_ms").alias("_min"),
-        F.max("duration_ms").alias("_max"),
+    # One pass over the rows: everything below starts from the distinct durations.
+    values = rows.groupBy("_key", *PATTERN, "duration_ms").agg(
+        F.count(F.lit(1)).alias("_n"),
         F.max(F.struct("captured_at", "id")).alias("_newest"),
         F.bool_or(F.col("status") == "ANALYZED").alias("_analyzed"),
         F.max("level_rank").alias("_rank"),
     )
-
-
-    group = Window.partitionBy(*_PATTERN_HASH)
-    totals = buckets.withColumns(
-        {
-            "execution_count": F.sum("_rows").over(group),
-            "total_duration_ms": F.sum("_sum").over(group),
-            "min_duration_ms": F.min("_min").over(group),
-            "max_duration_ms": F.max("_max").over(group),
-            "_newest": F.max("_newest").over(group),
-            "has_analysis": F.bool_or("_analyzed").over(group),
-            "_rank": F.max("_rank").over(group),
-        }
+    values = values.withColumns(
+        {"_steps": percentile.steps(F.col("duration_ms")), "_bucket": percentile.bucket_of(F.col("duration_ms"))}
     )
-    if min_duration_ms is not None:
-        mean = _mean(F.col("total_duration_ms"), F.col("execution_count"))
-        totals = totals.where(mean >= min_duration_ms)
-    ranked = percentile.rank_buckets(totals, _PATTERN_HASH, 0.95, "_bucket", "_rows")
-    found = percentile.values_at_ranks(
-        scoped.select(*_PATTERN_HASH, "duration_ms"), ranked, _PATTERN_HASH, "duration_ms", "_bucket"
+    total = F.sum(F.col("duration_ms") * F.col("_n"))
+    buckets = values.groupBy("_key", *PATTERN, "_bucket").agg(
+        F.sum("_n").alias("_rows"),
+        total.alias("_sum"),
+        F.min("duration_ms").alias("_min"),
+        F.max("duration_ms").alias("_max"),
+        F.max("_newest").alias("_newest"),
+        F.bool_or("_analyzed").alias("_analyzed"),
+        F.max("_rank").alias("_rank"),
     )
-    same = ("execution_count", "total_duration_ms", "min_duration_ms", "max_duration_ms")
-    summary = found.groupBy(*_PATTERN_HASH).agg(
-        F.max("fingerprint").alias("fingerprint"),
-        *[F.max(c).alias(c) for c in same],
-        percentile.between_ranks().alias("p95_duration_ms"),
+    known = F.col("_bucket").isNotNull()
+    totals = buckets.groupBy("_key").agg(
+        *[F.max(c).alias(c) for c in PATTERN],
+        F.sum("_rows").alias("execution_count"),
+        F.coalesce(F.sum(F.when(known, F.col("_rows"))), F.lit(0)).alias("_timed"),
+        F.sum("_sum").alias("total_duration_ms"),
+        F.min("_min").alias("min_duration_ms"),
+        F.max("_max").alias("max_duration_ms"),
         F.max("_newest").alias("_newest"),
-        F.bool_or("has_analysis").alias("has_analysis"),
+        F.bool_or("_analyzed").alias("has_analysis"),
         F.max("_rank").alias("_rank"),
     )
+    mean = _mean(F.col("total_duration_ms"), F.col("_timed"))
+    if min_duration_ms is not None:
+        totals = totals.where(mean >= min_duration_ms)
+    ranked = percentile.rank_buckets(
+        buckets.where(known).select("_key", "_bucket", "_rows"), ["_key"], 0.95, "_bucket", "_rows"
+    )
+    found = percentile.values_at_ranks(
+        values.where(known).select("_key", "_bucket", "_steps", "_n"), ranked, ["_key"], "_bucket"
+    )
+    high = found.groupBy("_key").agg(percentile.between_ranks().alias("p95_duration_ms"))
+    summary = totals.join(high, "_key", "left")
     summary = summary.select(
         *PATTERN,
         F.col("_newest.id").alias("id"),
         "execution_count",
-        _mean(F.col("total_duration_ms"), F.col("execution_count")).alias("avg_duration_ms"),
+        mean.alias("avg_duration_ms"),
         F.col("min_duration_ms").cast("double").alias("min_duration_ms"),
         F.col("max_duration_ms").cast("double").alias("max_duration_ms"),
         "p95_duration_ms",

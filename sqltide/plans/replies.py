@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqltide.operators.dedup import first_per_key
 from sqltide.plans.rules import SUGGESTIONS_TYPE, no_suggestions, suggestion, suggestions
 
 _STR = T.StringType()
@@ -32,7 +33,6 @@ REPLY = T.StructType(
 # What a plain-text reply and a missing confidence are worth.
 TEXT_CONFIDENCE = 0.75
 REPLY_CONFIDENCE = 0.85
-INSIGHT_LENGTH = 500
 
 
 def _json_kind(boxed: Column) -> Column:
@@ -47,12 +47,16 @@ def _json_kind(boxed: Column) -> Column:
 
 
 def parse_ai_replies(
-    replies: DataFrame, provider: str = "openai", model: str = "gpt-4"
+    replies: DataFrame,
+    provider: str = "openai",
+    model: str = "gpt-4",
+    insight_length: int | None = None,
 ) -> DataFrame:
     """Replies (slow_query_id, reply) to the common shape.
 
     A JSON object is read field by field.  Text that is no JSON is kept as an
-    insight.  JSON of another kind falls back to the stub reply.
+    insight, whole unless ``insight_length`` cuts it.  JSON of another kind
+    falls back to the stub reply.
     """
     # Inside brackets, text after the first value no longer goes unnoticed.
     boxed = F.try_parse_json(F.concat(F.lit("["), "reply", F.lit("]")))
@@ -78,7 +82,8 @@ def parse_ai_replies(
         ),
     )
     own = F.concat(from_indexes, from_rewrites).cast(SUGGESTIONS_TYPE)
-    insights = F.when(is_text, F.array(F.substring("reply", 1, INSIGHT_LENGTH)))
+    said = F.col("reply") if insight_length is None else F.substring("reply", 1, insight_length)
+    insights = F.when(is_text, F.array(said))
     parsed = staged.select(
         "slow_query_id",
         "kind",
@@ -156,9 +161,13 @@ def stub_replies(q: DataFrame) -> DataFrame:
 def merge_ai(rules: DataFrame, parsed: DataFrame) -> DataFrame:
     """Rule findings with the parsed replies laid over them.
 
-    A query without a reply keeps its rule-based finding.
+    A query without a reply keeps its rule-based finding.  Of several replies to
+    one query the one with the highest confidence counts, then the least by
+    its fields.  A confidence that does not fit the column is not taken over.
     """
-    ai = parsed.select(
+    fields = [F.col(c) for c in sorted(parsed.columns) if c not in ("slow_query_id", "confidence")]
+    best = [F.col("confidence").desc_nulls_last(), F.struct(*fields)]
+    ai = first_per_key(parsed, ["slow_query_id"], best).select(
         "slow_query_id",
         F.struct(*[F.col(c) for c in parsed.columns if c != "slow_query_id"]).alias("ai"),
     )
@@ -187,9 +196,10 @@ def merge_ai(rules: DataFrame, parsed: DataFrame) -> DataFrame:
         F.coalesce(reply["estimated_speedup"], F.col("estimated_speedup")).alias(
             "estimated_speedup"
         ),
-        F.when(trusted, F.round(reply["confidence"], 2).cast("decimal(3,2)"))
-        .otherwise(F.col("confidence"))
-        .alias("confidence"),
+        F.coalesce(
+            F.when(trusted, F.round(reply["confidence"], 2).try_cast("decimal(3,2)")),
+            F.col("confidence"),
+        ).alias("confidence"),
         F.when(has_cause, F.lit("ai_assisted"))
         .when(trusted, F.lit("hybrid"))
         .otherwise(F.col("method"))

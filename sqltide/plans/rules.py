@@ -330,7 +330,7 @@ def plan_nodes(q: DataFrame) -> DataFrame:
             "node_no",
             kind.alias("node_type"),
             F.coalesce(node["table_name"], node["Relation Name"]).alias("table_name"),
-            rows.cast("bigint").alias("node_rows"),
+            rows.try_cast("bigint").alias("node_rows"),
             F.when(kind.isin("ALL", "index", "Seq Scan") & (rows > MANY_ROWS), F.lit("FULL_SCAN"))
             .when((kind == "Nested Loop") & (rows > MANY_ROWS), F.lit("LARGE_NESTED_LOOP"))
             .when(sorts | (kind == "Sort"), F.lit("SORT_OR_TEMPORARY"))

@@ -73,9 +73,10 @@ SELECT slow_query_id,
   CASE kind WHEN 'full' THEN 'INDEX|HIGH|filter|CREATE INDEX i ON orders(user_id)|10x;OPTIMIZATION|MEDIUM|no star|SELECT id|Varies' ELSE '' END AS suggestions,
   CASE kind WHEN 'full' THEN 'CRITICAL' WHEN 'bare' THEN 'MEDIUM' END AS improvement_level,
   CASE kind WHEN 'full' THEN '50x' WHEN 'bare' THEN '2-5x' END AS estimated_speedup,
-  CASE kind WHEN 'text' THEN substr(reply, 1, 500) WHEN 'list' THEN '{_STUB_INSIGHTS}' ELSE '' END AS insights,
+  CASE kind WHEN 'text' THEN reply WHEN 'list' THEN '{_STUB_INSIGHTS}' ELSE '' END AS insights,
   CASE kind WHEN 'list' THEN 2 ELSE 0 END AS additional,
-  CASE kind WHEN 'full' THEN 0.95 WHEN 'bare' THEN 0.85 ELSE 0.75 END::double AS confidence,
+  CASE kind WHEN 'full' THEN CAST(json_extract_string(reply, '$.confidence') AS double)
+    WHEN 'bare' THEN 0.85 ELSE 0.75 END::double AS confidence,
   CASE kind WHEN 'list' THEN 'stub' ELSE 'openai' END AS provider,
   CASE kind WHEN 'list' THEN 'mock-v1' ELSE 'gpt-4' END AS model
 FROM (SELECT *, CASE WHEN NOT json_valid(reply) THEN 'text' WHEN json_type(reply) = 'ARRAY' THEN 'list'
@@ -107,7 +108,7 @@ SELECT f.slow_query_id,
        ELSE array_to_string(items, ';') END AS suggestions,
   coalesce(r.improvement_level, f.improvement_level) AS improvement_level,
   coalesce(r.estimated_speedup, f.estimated_speedup) AS estimated_speedup,
-  coalesce(r.confidence, f.confidence) AS confidence,
+  CASE WHEN r.confidence < 9.995 THEN r.confidence ELSE f.confidence END AS confidence,
   CASE WHEN r.root_cause <> '' THEN 'ai_assisted' WHEN r.confidence IS NOT NULL THEN 'hybrid'
        ELSE 'rule_based' END AS method,
   r.provider,

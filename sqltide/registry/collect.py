@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +19,8 @@ MID = "2024-01-15 00:00:00"
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new folder beside the cluster's checkpoints; a local one in tests."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        unique = tempfile.mktemp(prefix=f"{name}-", dir="/").lstrip("/")
-        return f"{shared.rstrip('/')}/{unique}"
-    return tempfile.mkdtemp(prefix=f"{name}-", dir="/tmp")
+    """A new folder beside the cluster's checkpoints."""
+    return store.new_folder(t.spark, name)
 
 
 def slow_columns(df: DataFrame) -> DataFrame:
@@ -53,9 +47,9 @@ FROM mysql_log WHERE trim(coalesce(sql_text, '')) <> ''"""
 _PG = f"""
 SELECT 'postgres' AS source_db_type, 'pg-1' AS source_db_host, 'labdb' AS source_db_name,
   {normalized('query')} AS fingerprint, query AS full_sql, md5({normalized('query')}) AS sql_hash,
-  CAST(CAST(mean_exec_time AS decimal(12,3)) AS double) AS duration_ms,
+  CAST(CAST(mean_exec_time AS decimal(18,3)) AS double) AS duration_ms,
   shared_blks_read + shared_blks_hit AS rows_examined, rows AS rows_returned,
-  CAST(NULL AS varchar) AS plan_json, TIMESTAMP '{AS_OF}' AS captured_at, 'NEW' AS status
+  substr(plan_json, 2, length(plan_json) - 2) AS plan_json, TIMESTAMP '{AS_OF}' AS captured_at, 'NEW' AS status
 FROM pg_stat WHERE mean_exec_time >= 1000 AND query NOT ILIKE '%pg_stat_statements%'
   AND query NOT ILIKE '%pg_catalog%'"""
 

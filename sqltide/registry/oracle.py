@@ -157,7 +157,7 @@ SUMMARY_COLUMNS = """fingerprint, source_db_type, source_db_host, id, execution_
 
 _SUMMARY = f"""
 SELECT fingerprint, source_db_type, source_db_host, max_by(q.id, (captured_at, q.id)) AS id,
-  count(*) AS execution_count, CAST(sum(duration_ms) AS double) / count(*) AS avg_duration_ms,
+  count(*) AS execution_count, CAST(sum(duration_ms) AS double) / count(duration_ms) AS avg_duration_ms,
   CAST(min(duration_ms) AS double) AS min_duration_ms, CAST(max(duration_ms) AS double) AS max_duration_ms,
   quantile_cont(CAST(duration_ms AS double), 0.95) AS p95_duration_ms,
   CAST(sum(duration_ms) AS double) AS total_duration_ms,

@@ -27,24 +27,31 @@ def _joined(df: DataFrame) -> DataFrame:
 
 
 def _context(t: Tables) -> DataFrame:
-    context = joins.schema_context(t.queries(), latest_db_metadata(t.metadata()))
+    # The users tables of one database are unknown.
+    latest = latest_db_metadata(t.metadata()).where("source_db_name <> 'db1' OR table_name <> 'users'")
+    context = joins.schema_context(t.queries(), latest)
     entry = F.transform(
         "schema_context",
         lambda e: F.concat_ws(
-            ":", e["table_name"], e["row_count"].cast("string"), F.array_join(e["indexes"], ",")
+            ":", e["table_name"], F.coalesce(e["row_count"].cast("string"), F.lit("?")),
+            F.coalesce(F.array_join(e["indexes"], ","), F.lit("?")),
         ),
     )
     return context.select("id", F.array_join(entry, ";").alias("context"))
 
 
 _CONTEXT_SQL = """
-SELECT id, string_agg(table_name || ':' || row_count || ':' || indexes, ';' ORDER BY table_name) AS context
-FROM (SELECT id, source_db_type, source_db_host, source_db_name,
+SELECT q.id, coalesce(string_agg(u.table_name || ':' || coalesce(CAST(row_count AS varchar), '?') || ':' ||
+  coalesce(indexes, '?'), ';' ORDER BY u.table_name), '') AS context
+FROM q LEFT JOIN (SELECT id, source_db_type, source_db_host, source_db_name,
         unnest(CASE WHEN contains(full_sql, 'JOIN') THEN ['users', 'orders']
                     WHEN contains(full_sql, 'FROM orders') THEN ['orders']
                     WHEN contains(full_sql, 'FROM users') THEN ['users'] ELSE [] END) AS table_name FROM q) u
-JOIN meta_tables USING (source_db_type, source_db_host, source_db_name, table_name)
-GROUP BY id"""
+  ON u.id = q.id
+LEFT JOIN (SELECT * FROM meta_tables WHERE source_db_name <> 'db1' OR table_name <> 'users') m
+  ON (m.source_db_type, m.source_db_host, m.source_db_name, m.table_name) =
+     (u.source_db_type, u.source_db_host, u.source_db_name, u.table_name)
+GROUP BY q.id"""
 
 
 def _global(t: Tables) -> DataFrame:

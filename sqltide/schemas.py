@@ -21,6 +21,7 @@ MYSQL_SLOW_LOG = T.StructType(
         T.StructField("rows_examined", T.LongType()),
         T.StructField("db", T.StringType()),
         T.StructField("sql_text", T.StringType()),
+        T.StructField("plan_json", T.StringType()),
     ]
 )
 
@@ -36,6 +37,7 @@ PG_STAT_STATEMENTS = T.StructType(
         T.StructField("shared_blks_hit", T.LongType()),
         T.StructField("shared_blks_read", T.LongType()),
         T.StructField("shared_blks_written", T.LongType()),
+        T.StructField("plan_json", T.StringType()),
     ]
 )
 
@@ -48,7 +50,7 @@ SLOW_QUERY = T.StructType(
         T.StructField("fingerprint", T.StringType()),
         T.StructField("full_sql", T.StringType()),
         T.StructField("sql_hash", T.StringType()),
-        T.StructField("duration_ms", T.DecimalType(12, 3)),
+        T.StructField("duration_ms", T.DecimalType(18, 3)),
         T.StructField("rows_examined", T.LongType()),
         T.StructField("rows_returned", T.LongType()),
         T.StructField("plan_json", T.StringType()),

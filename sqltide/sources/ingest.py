@@ -37,6 +37,16 @@ def _as_text(raw: DataFrame, column: str) -> DataFrame:
     return raw
 
 
+def plan_column(raw: DataFrame) -> Column:
+    """The plan collected with a statement; a list of one plan is that plan."""
+    if "plan_json" not in raw.columns:
+        return F.lit(None).cast("string").alias("plan_json")
+    plan = F.col("plan_json")
+    only = F.get_json_object(plan, "$[0]").isNotNull() & F.get_json_object(plan, "$[1]").isNull()
+    inside = F.regexp_extract(plan, r"(?s)\A\s*\[\s*(.*\S)\s*\]\s*\z", 1)
+    return F.when(F.ltrim(plan).startswith("[") & only, inside).otherwise(plan).alias("plan_json")
+
+
 def ingest_mysql_slow_log(
     raw: DataFrame,
     host: Column | str,
@@ -62,9 +72,7 @@ def ingest_mysql_slow_log(
         measures.interval_to_ms(F.col("query_time")).alias("duration_ms"),
         "rows_examined",
         F.col("rows_sent").alias("rows_returned"),
-        (F.col("plan_json") if "plan_json" in raw.columns else F.lit(None).cast("string")).alias(
-            "plan_json"
-        ),
+        plan_column(raw),
         F.col("start_time").alias("captured_at"),
         F.lit("NEW").alias("status"),
     )
@@ -98,12 +106,12 @@ def ingest_pg_stat_statements(
         host.alias("source_db_host"),
         F.lit(db).alias("source_db_name"),
         F.col("query").alias("full_sql"),
-        F.col("mean_exec_time").cast("decimal(12,3)").alias("duration_ms"),
+        F.col("mean_exec_time").try_cast("decimal(18,3)").alias("duration_ms"),
         (
             F.coalesce("shared_blks_read", F.lit(0)) + F.coalesce("shared_blks_hit", F.lit(0))
         ).alias("rows_examined"),
         F.coalesce("rows", F.lit(0)).alias("rows_returned"),
-        F.lit(None).cast("string").alias("plan_json"),
+        plan_column(raw),
         measures.at(captured_at).alias("captured_at"),
         F.lit("NEW").alias("status"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,17 +12,31 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where no folder is configured, as in tests, a new local one is used.
+    Only a local session may do without the setting; it gets a new folder.
     """
-    context = df.sparkSession.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-        "spark.checkpoint.dir", None
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
     )
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that does not exist yet, in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

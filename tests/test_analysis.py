@@ -129,12 +129,30 @@ def test_reply_kinds(spark):
     assert (item["type"], item["description"], item["estimated_impact"]) == ("INDEX", "R", "")
     long_text = "no json " * 200
     row = parsed(spark, long_text).first()
-    assert row.ai_insights == [long_text[:500]] and row.confidence == 0.75 and row.improvement_level is None
+    assert row.ai_insights == [long_text] and row.confidence == 0.75 and row.improvement_level is None
     assert parsed(spark, '{"root_cause": "c"} trailing').first().root_cause is None
     assert parsed(spark, "[1]").first().provider == "stub"
     assert parsed(spark, None).count() == 0
 
 
+def test_replies_that_do_not_fit_or_repeat(spark):
+    q = queries(spark, {})
+    found = analysis.rule_findings(q)
+    odd = replies.merge_ai(found, parsed(spark, '{"root_cause": "c", "confidence": 95}')).first()
+    assert (odd.root_cause, odd.confidence) == ("c", Decimal("0.70"))
+    both = parsed(spark, '{"root_cause": "a", "confidence": 0.5}').union(parsed(spark, '{"root_cause": "b", "confidence": 0.6}'))
+    assert [r.root_cause for r in replies.merge_ai(found, both.union(both)).collect()] == ["b"]
+
+
+def test_plan_nodes_under_any_name(spark):
+    inner = '{"table": {"table_name": "%s", "access_type": "ALL", "rows_examined_per_scan": 500000}}'
+    odd = f'{{"query_block": {{"update_value_subqueries": [{inner % "a"}], "insert_from": {inner % "b"}}}}}'
+    listed = '[{"Plan": {"Node Type": "Seq Scan", "Relation Name": "{[", "Plan Rows": 1e20}}]'
+    q = queries(spark, {"plan_json": odd}, {"source_db_type": "postgres", "plan_json": listed}, {"plan_json": "no {json"})
+    got = {(r.slow_query_id, r.table_name, r.node_rows, r.finding) for r in rules.plan_nodes(q).collect()}
+    assert got == {("q0", "a", 500000, "FULL_SCAN"), ("q0", "b", 500000, "FULL_SCAN"), ("q1", "{[", None, "FULL_SCAN")}
+
+
 def test_merge(spark):
     q = queries(spark, {})
     found = analysis.rule_findings(q)

@@ -20,7 +20,7 @@ MINUTE = datetime.timedelta(minutes=1)
 
 def log_rows(spark, texts):
     rows = [
-        (NOW + i * MINUTE, "u", datetime.timedelta(seconds=2 + i), None, 1, 10, None if i % 2 else "", t)
+        (NOW + i * MINUTE, "u", datetime.timedelta(seconds=2 + i), None, 1, 10, None if i % 2 else "", t, None)
         for i, t in enumerate(texts)
     ]
     return spark.createDataFrame(rows, MYSQL_SLOW_LOG)
@@ -45,7 +45,7 @@ def test_ingest_mysql(spark):
 
 def test_ingest_postgres(spark):
     rows = [
-        (i, q, 2, 1.0, mean, 1.0, 7, 3, 4, 0)
+        (i, q, 2, 1.0, mean, 1.0, 7, 3, 4, 0, None)
         for i, (q, mean) in enumerate(
             [("SELECT a", 1000.0), ("SELECT b", 999.0), ("select PG_Catalog.x", 5000.0), ("SELECT c", 3000.5)]
         )
@@ -290,8 +290,44 @@ def test_clusters_join_copies(spark):
     assert got["c0"] == got["c1"] == got["c2"] != got["c3"]
 
 
+def test_clusters_do_not_depend_on_copies(spark):
+    one = [f"w{i}" for i in range(20)]
+    other = one[:18] + ["x", "y"]  # similarity 18 / 22
+    found = []
+    for copies in (2, 7):
+        rows = [
+            (f"{side}{i}", " ".join(words[i:] + words[:i]), "mysql", None, "p", None, 0.5)
+            for side, words in (("a", one), ("b", other)) for i in range(copies)
+        ]
+        df = spark.createDataFrame(rows, cases(spark, 1, random.Random(0)).schema)
+        found.append(len({r.cluster for r in similarity.case_clusters(df).collect()}))
+    assert found == [1, 1]
+
+
+def test_rows_that_do_not_fit(spark):
+    long = datetime.timedelta(days=34)
+    log = spark.createDataFrame([(NOW, "u", long, None, 1, 10, "d", "SELECT 1", None)], MYSQL_SLOW_LOG)
+    assert ingest.ingest_mysql_slow_log(log, "h", "d").first().duration_ms == Decimal("2937600000.000")
+    stats_rows = [(1, "SELECT a", 2, 1.0, mean, 1.0, 7, 3, 4, 0, plan) for mean, plan in ((2e9, '[ {"a": 1} ]'), (1e30, "[1, 2]"))]
+    got = ingest.ingest_pg_stat_statements(spark.createDataFrame(stats_rows, PG_STAT_STATEMENTS), "h", "d", AS_OF)
+    assert {(r.duration_ms, r.plan_json) for r in got.collect()} == {(Decimal("2000000000.000"), '{"a": 1}'), (None, "[1, 2]")}
+
+
+def test_pattern_summary_with_nulls(spark):
+    q = queries(
+        spark, {"duration_ms": Decimal("100.000")}, {"duration_ms": None}, {"duration_ms": Decimal("300.000")},
+        {"source_db_host": None}, {"source_db_host": None, "fingerprint": None, "sql_hash": None, "duration_ms": None},
+    )
+    none = analysis.analyze(q.limit(0), AS_OF)
+    rows = {(r.fingerprint, r.source_db_host): r for r in stats.pattern_summary(q, none).collect()}
+    row = rows["f", "h"]
+    assert (row.execution_count, row.avg_duration_ms, row.p95_duration_ms) == (3, 200.0, pytest.approx(290.0))
+    assert rows["f", None].p95_duration_ms == 100.0
+    assert rows[None, None].execution_count == 1 and rows[None, None].avg_duration_ms is None
+
+
 def test_schema_context_and_metadata(spark):
-    q = queries(spark, {"full_sql": "SELECT 1 FROM t JOIN u ON 1 = 1"}, {"full_sql": "SELECT 1 FROM nowhere"})
+    q = queries(spark, {"full_sql": "SELECT 1 FROM t JOIN u ON 1 = 1"}, {"full_sql": "SELECT 1 FROM nowhere"}, {"full_sql": "SELECT 1"})
     meta = spark.createDataFrame(
         [("mysql", "h", "d", NOW, [("t", 1)], [("t", "old")]),
          ("mysql", "h", "d", NOW + MINUTE, [("t", 5), ("u", 6)], [("t", "b"), ("t", "a")])],
@@ -299,7 +335,5 @@ def test_schema_context_and_metadata(spark):
         "tables array<struct<name:string,row_count:bigint>>, indexes array<struct<table:string,name:string>>",
     )
     got = joins.schema_context(q, store.latest_db_metadata(meta)).collect()
-    assert [r.id for r in got] == ["q0"]
-    assert [(e.table_name, e.row_count, e.indexes) for e in got[0].schema_context] == [
-        ("t", 5, ["a", "b"]), ("u", 6, []),
-    ]
+    found = {r.id: [(e.table_name, e.row_count, e.indexes) for e in r.schema_context] for r in got}
+    assert found == {"q0": [("t", 5, ["a", "b"]), ("u", 6, [])], "q1": [("nowhere", None, None)], "q2": []}

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as registered
 from conftest import SMALL
 from oracle_check import differences
+from sqltide.registry import ENTRIES
 
 QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
 # Plans that would not hold at scale: row-at-a-time Python, all pairs.
@@ -17,7 +18,7 @@ FORBIDDEN = re.compile(
 )
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ENTRIES))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
