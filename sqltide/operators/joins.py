@@ -12,20 +12,14 @@ from sqltide.functions import text
 PATTERN = ("fingerprint", "source_db_type", "source_db_host")
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: str, spread: int = 16
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of many rows with one ``table`` row per key.
 
-    Every key is split ``spread`` ways by the hash of ``spread_by`` and the
-    table row is repeated for each part, so a key with a third of all rows
-    does not land in one task.
+    A key may hold a third of all rows.  Adaptive execution splits the shuffle
+    partitions that it measures to be skewed and repeats the table's part for
+    each, so other keys pay nothing.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
-    repeated = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>"))
-    )
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return rows.join(table, list(keys))
 
 
 def queries_with_analysis(q: DataFrame, a: DataFrame) -> DataFrame:
@@ -59,7 +53,7 @@ def schema_context(q: DataFrame, latest: DataFrame) -> DataFrame:
     )
     # One database and table may be read by a third of all queries.
     keys = [*source, "table_name"]
-    known = lookup_join(used, latest, keys, "id").select("id", "table_name", "row_count", "indexes")
+    known = lookup_join(used, latest, keys).select("id", "table_name", "row_count", "indexes")
     # All tables of all queries; a known one replaces its name alone.
     entry = F.when(F.col("table_name").isNotNull(), F.struct("table_name", "row_count", "indexes"))
     nothing = F.lit(None)

@@ -43,18 +43,10 @@ def build_backlog(
     stored without names and literals.
     """
     queries = q.select(
-        F.col("id").alias("slow_query_id"),
-        "fingerprint",
-        F.col("source_db_type").alias("db_type"),
-        "full_sql",
-        "plan_json",
+        F.col("id").alias("slow_query_id"), "fingerprint", F.col("source_db_type").alias("db_type")
     )
     confirmed = a.where(F.col("effectiveness") == "CONFIRMED").select(
-        F.col("id").alias("analysis_result_id"),
-        "slow_query_id",
-        "problem",
-        "suggestions",
-        "analyzer_version",
+        F.col("id").alias("analysis_result_id"), "slow_query_id"
     )
     measured = feedback.select(
         "analysis_result_id", "old_duration_ms", "new_duration_ms", "gain_ratio", "checked_at"
@@ -63,6 +55,12 @@ def build_backlog(
     latest = first_per_key(
         joined, CASE_KEY, [F.col("checked_at").desc(), F.col("analysis_result_id")]
     )
+    # The wide columns meet the winners alone.
+    said = a.select(
+        F.col("id").alias("analysis_result_id"), "problem", "suggestions", "analyzer_version"
+    )
+    texts = q.select(F.col("id").alias("slow_query_id"), "full_sql", "plan_json")
+    latest = latest.join(said, "analysis_result_id").join(texts, "slow_query_id")
     if context is None:
         latest = latest.withColumn("schema_context", F.lit(None).cast("string"))
     else:

@@ -50,9 +50,7 @@ def before_after(
         F.col("captured_at").alias("old_time"),
     )
     analysed = a.select(F.col("id").alias("analysis_id"), "slow_query_id").join(old, "slow_query_id")
-    joined = lookup_join(
-        analysed, newest_executions(q, last_n), ["fingerprint"], "analysis_id"
-    )
+    joined = lookup_join(analysed, newest_executions(q, last_n), ["fingerprint"])
     start = F.col("old_time") + F.expr(f"interval {tolerance}")
     return joined.withColumn(
         "after", F.filter("newest", lambda e: e["captured_at"] > start)

@@ -17,24 +17,23 @@ def with_previous(
 
     A window over the key alone would put a hot key into one task.  The rows
     are range-partitioned on key and order instead, which cuts a hot key into
-    even pieces; the first row of a piece takes its value from the last row of
-    the piece before.
+    even pieces; the last row of a piece is repeated at the start of the next
+    piece of its key, so one window inside the pieces suffices.
     """
     ranged = durable(
         df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
     )
-    in_piece = Window.partitionBy("_piece", *keys).orderBy(*order)
-    local = ranged.withColumns(
-        {name: F.lag(value).over(in_piece), "_first": F.row_number().over(in_piece) == 1}
-    )
     last = F.max(F.struct(*order, F.col(value).alias("_value")))["_value"]
     # At most one row per key and piece.
-    ends = ranged.groupBy("_piece", *keys).agg(last.alias("_last"))
+    ends = ranged.groupBy("_piece", *keys).agg(last.alias(value))
     pieces = Window.partitionBy(*keys).orderBy("_piece")
     carried = ends.select(
-        "_piece", *keys, F.lag("_last").over(pieces).alias("_carried"), F.lit(True).alias("_first")
-    ).where(F.col("_carried").isNotNull())
-    joined = local.join(carried, ["_piece", *keys, "_first"], "left")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop(
-        "_piece", "_first", "_carried"
+        F.lead("_piece").over(pieces).alias("_piece"), *keys, value, F.lit(True).alias("_carried")
+    ).where(F.col("_piece").isNotNull())
+    rows = ranged.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    inside = Window.partitionBy("_piece", *keys).orderBy(F.col("_carried").desc(), *order)
+    return (
+        rows.withColumn(name, F.lag(value).over(inside))
+        .where(~F.col("_carried"))
+        .select(*df.columns, name)
     )

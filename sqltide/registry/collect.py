@@ -44,7 +44,7 @@ SELECT 'mysql' AS source_db_type, user_host AS source_db_host,
   start_time AS captured_at, 'NEW' AS status
 FROM mysql_log WHERE trim(coalesce(sql_text, '')) <> ''"""
 
-_PG = f"""
+PG_SQL = f"""
 SELECT 'postgres' AS source_db_type, 'pg-1' AS source_db_host, 'labdb' AS source_db_name,
   {normalized('query')} AS fingerprint, query AS full_sql, md5({normalized('query')}) AS sql_hash,
   CAST(CAST(mean_exec_time AS decimal(18,3)) AS double) AS duration_ms,
@@ -143,7 +143,7 @@ ENTRIES: dict[str, Entry] = {
         lambda t: slow_columns(
             ingest.ingest_pg_stat_statements(t.pg_stat(), "pg-1", "labdb", AS_OF)
         ),
-        sql(_PG, "pg_stat"),
+        sql(PG_SQL, "pg_stat"),
     ),
     "load_slow_queries": Entry(
         _loaded,

@@ -11,7 +11,7 @@ from sqltide.registry.base import Entry, items_text, rounded
 from sqltide.registry.collect import scratch, slow_columns
 from sqltide.registry.oracle import sql
 from sqltide.registry import collect
-from sqltide.schemas import MYSQL_SLOW_LOG, SLOW_QUERY
+from sqltide.schemas import MYSQL_SLOW_LOG, PG_STAT_STATEMENTS, SLOW_QUERY
 from sqltide.streaming import jobs
 
 
@@ -41,7 +41,7 @@ def _ingested(t: Tables) -> DataFrame:
     out = scratch(t, "ingested")
     rows = jobs.stream_ingest(t.spark, _log_files(t), F.col("user_host"), "labdb")
     _finished(jobs.to_files(rows, out, scratch(t, "progress")))
-    return slow_columns(t.spark.read.schema(SLOW_QUERY).parquet(out)).drop("plan_json")
+    return slow_columns(t.spark.read.schema(SLOW_QUERY).parquet(out))
 
 
 def _unique(t: Tables) -> DataFrame:
@@ -53,6 +53,31 @@ def _unique(t: Tables) -> DataFrame:
     )
 
 
+def _into_store(t: Tables) -> DataFrame:
+    """The slow log arrives twice, in several batches; every execution is stored once."""
+    out, logs = scratch(t, "store"), _log_files(t)
+    t.spark.read.schema(MYSQL_SLOW_LOG).parquet(logs).write.mode("append").parquet(logs)
+    rows = jobs.stream_ingest(t.spark, logs, F.col("user_host"), "labdb", max_files=2)
+    _finished(jobs.dedup_into_store(rows, out, scratch(t, "progress")))
+    return t.spark.read.schema(SLOW_QUERY).parquet(out).select(
+        "source_db_host", "fingerprint", "sql_hash", "captured_at"
+    )
+
+
+def _snapshots(t: Tables) -> DataFrame:
+    """Statement statistics as a stream of snapshots into a store of patterns."""
+    path, out = scratch(t, "snapshots"), scratch(t, "patterns")
+    raw = t.pg_stat().withColumns(
+        {"queryid": F.xxhash64("query"), "shared_blks_written": F.lit(0).cast("bigint")}
+    )
+    raw.select(*PG_STAT_STATEMENTS.names).write.mode("overwrite").parquet(path)
+    rows = jobs.stream_snapshots(t.spark, path, "pg-1", "labdb", AS_OF)
+    _finished(jobs.patterns_into_store(rows, out, scratch(t, "progress")))
+    return t.spark.read.schema(SLOW_QUERY).parquet(out).select(
+        "fingerprint", "full_sql", "plan_json", F.col("duration_ms").cast("double").alias("duration_ms")
+    )
+
+
 def _analyzed(t: Tables) -> DataFrame:
     out = scratch(t, "analyzed")
     rows = jobs.read_files(t.spark, _query_files(t), SLOW_QUERY)
@@ -87,12 +112,12 @@ def _history(t: Tables) -> DataFrame:
     _finished(
         jobs.run_history(raw, drop_blank_sql, "mysql", "start_time", out, scratch(t, "progress"))
     )
-    return _read(t, out, f"{jobs.RUN_HISTORY}, batch_id bigint")
+    return _read(t, out, f"{jobs.RUN_HISTORY}, batch_id bigint").drop("ran_at")
 
 
 ENTRIES: dict[str, Entry] = {
     "stream_ingest": Entry(
-        _ingested, sql(f"SELECT * EXCLUDE (plan_json) FROM ({collect.MYSQL_SQL}) i", "mysql_log")
+        _ingested, sql(collect.MYSQL_SQL, "mysql_log")
     ),
     "stream_dedup": Entry(
         _unique,
@@ -102,6 +127,24 @@ ENTRIES: dict[str, Entry] = {
             "mysql_log",
         ),
     ),
+    "dedup_into_store": Entry(
+        _into_store,
+        sql(
+            "SELECT DISTINCT source_db_host, fingerprint, sql_hash, captured_at "
+            f"FROM ({collect.MYSQL_SQL}) i",
+            "mysql_log",
+        ),
+    ),
+    "stream_snapshots": Entry(
+        _snapshots,
+        sql(
+            "SELECT fingerprint, full_sql, plan_json, duration_ms FROM (SELECT *, row_number() OVER ("
+            "PARTITION BY fingerprint ORDER BY duration_ms DESC, "
+            "md5(concat_ws(chr(31), source_db_host, source_db_name, full_sql))) AS nth "
+            f"FROM ({collect.PG_SQL}) p) r WHERE nth = 1",
+            "pg_stat",
+        ),
+    ),
     "stream_analyze": Entry(
         _analyzed,
         sql(

@@ -10,19 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions
+from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions, dedup_patterns
 from sqltide.operators.stats import SOURCE
 from sqltide.plans.analysis import analyze
-from sqltide.schemas import MYSQL_SLOW_LOG, SLOW_QUERY
-from sqltide.sources.ingest import ingest_mysql_slow_log
+from sqltide.schemas import MYSQL_SLOW_LOG, PG_STAT_STATEMENTS, SLOW_QUERY
+from sqltide.sources.ingest import ingest_mysql_slow_log, ingest_pg_stat_statements
 from sqltide.sources.store import write_results
 
 _CAPTURED = "captured_at"
+_DAY = "captured_date"
 
 
 def read_files(
@@ -52,6 +54,21 @@ def stream_ingest(
     return ingest_mysql_slow_log(raw, host, default_db)
 
 
+def stream_snapshots(
+    spark: SparkSession,
+    path: str,
+    host: Column | str,
+    db: str,
+    captured_at: str | datetime,
+    fmt: str = "parquet",
+    max_files: int | None = None,
+    min_duration_ms: float = 1000.0,
+) -> DataFrame:
+    """Snapshots of statement statistics, as they arrive, to slow-query rows."""
+    raw = read_files(spark, path, PG_STAT_STATEMENTS, fmt, max_files)
+    return ingest_pg_stat_statements(raw, host, db, captured_at, min_duration_ms)
+
+
 def _epoch() -> Column:
     return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
 
@@ -118,25 +135,59 @@ def _replace_batch(rows: DataFrame, batch_id: int, path: str) -> None:
 
 def _others(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
     """Stored rows of earlier batches, without those of this batch's failed attempt."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    added = [T.StructField(_DAY, T.DateType()), T.StructField("batch_id", T.LongType())]
     try:
-        stored = spark.read.schema(full).parquet(path)
+        stored = spark.read.schema(T.StructType([*schema.fields, *added])).parquet(path)
     except Exception as error:  # the first batch finds no table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], T.StructType([*schema.fields, added[0]]))
     return stored.where(F.col("batch_id") != batch_id).drop("batch_id")
 
 
+def _store_by_day(rows: DataFrame, batch_id: int, path: str) -> None:
+    """A batch that runs again writes the same days and replaces its own rows."""
+    (
+        rows.withColumns({_DAY: F.to_date(_CAPTURED), "batch_id": F.lit(batch_id).cast("bigint")})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(_DAY, "batch_id")
+        .parquet(path)
+    )
+
+
 def dedup_into_store(
     rows: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
 ) -> StreamingQuery:
-    """Stores executions the table does not hold yet, however old they are."""
+    """Stores executions the table does not hold yet, however old they are.
+
+    Equal executions have equal times, so a batch is compared with the stored
+    days of its own range only.
+    """
+
+    def action(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select(*SLOW_QUERY.names)
+        first, last = batch.agg(
+            F.min(F.to_date(_CAPTURED)), F.max(F.to_date(_CAPTURED))
+        ).first()
+        store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id)
+        if first is not None:
+            # Rows without a time match each other as well.
+            inside = F.col(_DAY).between(F.lit(first), F.lit(last)) | F.col(_DAY).isNull()
+            store = store.where(inside)
+        _store_by_day(dedup_executions(batch, store), batch_id, path)
+
+    return each_batch(rows, action, checkpoint, processing_time)
+
+
+def patterns_into_store(
+    rows: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
+) -> StreamingQuery:
+    """Stores patterns the table does not hold yet: one row per statement and source."""
 
     def action(batch: DataFrame, batch_id: int) -> None:
         store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id)
-        fresh = dedup_executions(batch.select(*SLOW_QUERY.names), store)
-        _replace_batch(fresh, batch_id, path)
+        _store_by_day(dedup_patterns(batch.select(*SLOW_QUERY.names), store), batch_id, path)
 
     return each_batch(rows, action, checkpoint, processing_time)
 
@@ -195,16 +246,38 @@ def stream_trend(
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a finished or running query dropped for being past the watermark."""
-    return sum(
-        operator.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop for being past the watermark.
+
+    Added to ``spark.streams`` before a query starts, it sees every update,
+    however long the query runs.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-RUN_HISTORY = "source string, rows_read bigint, rows_kept bigint, newest timestamp_ntz"
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        """Rows dropped by a query so far; call it after the query's updates have arrived."""
+        return self.dropped.get(str(query.runId), 0)
+
+
+RUN_HISTORY = (
+    "source string, rows_read bigint, rows_kept bigint, newest timestamp_ntz, ran_at timestamp"
+)
 
 
 def run_history(
@@ -216,24 +289,24 @@ def run_history(
     checkpoint: str,
     processing_time: str | None = None,
 ) -> StreamingQuery:
-    """One stored row per micro-batch: rows read, rows kept and the newest time.
+    """One stored row per micro-batch: rows read, rows kept, the newest time and the time of the run.
 
-    ``keep`` turns a raw batch into the rows that are kept.
+    ``keep`` turns a raw batch into the rows that are kept; the batch is read once.
     """
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        read = batch.select(
-            F.lit(1).alias("r"), F.lit(0).alias("k"), F.col(time_column).cast("timestamp_ntz").alias("t")
-        )
-        kept = keep(batch).select(
-            F.lit(0).alias("r"), F.lit(1).alias("k"), F.lit(None).cast("timestamp_ntz").alias("t")
+        seen = Observation()
+        watched = batch.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows_read"),
+            F.max(F.col(time_column).cast("timestamp_ntz")).alias("newest"),
         )
-        counts = read.unionByName(kept).agg(
-            F.lit(source).alias("source"),
-            F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("rows_read"),
-            F.coalesce(F.sum("k"), F.lit(0)).cast("bigint").alias("rows_kept"),
-            F.max("t").alias("newest"),
+        kept = keep(watched).count()
+        read = seen.get
+        row = [(source, read["rows_read"], kept, read["newest"])]
+        counts = batch.sparkSession.createDataFrame(
+            row, "source string, rows_read bigint, rows_kept bigint, newest timestamp_ntz"
         )
-        _replace_batch(counts, batch_id, path)
+        _replace_batch(counts.withColumn("ran_at", F.current_timestamp()), batch_id, path)
 
     return each_batch(raw, action, checkpoint, processing_time)

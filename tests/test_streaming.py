@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -85,6 +86,8 @@ def test_trend_windows_and_late_rows(spark, tmp_path):
                 df = df.withColumn(field.name, value.cast(field.dataType))
         df.select(*SLOW_QUERY.names).coalesce(1).write.mode("append").parquet(source)
     stream = jobs.read_files(spark, source, SLOW_QUERY, max_files=1)
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
     query = jobs.to_files(jobs.stream_trend(stream), out, str(tmp_path / "c"))
     query.awaitTermination()
     got = {
@@ -94,7 +97,12 @@ def test_trend_windows_and_late_rows(spark, tmp_path):
         ).parquet(out).collect()
     }
     assert got == {1: 2, 2: 1, 4: 2}
-    assert jobs.late_rows(query) == 1
+    for _ in range(100):
+        if late.of(query):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.of(query) == 1
 
 
 def test_sliding_and_session_windows(spark, tmp_path):
