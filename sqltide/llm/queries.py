@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": near_dedup.sql(85),
     "op7_line_dedup": line_dedup.SQL,
     "op8_chat_formatting": chat.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
