@@ -125,6 +125,11 @@ def append_feedback(
     )
 
 
+def pattern_list(summary: DataFrame, effectiveness: DataFrame) -> DataFrame:
+    """The pattern summary with the best state and gain that suggestions to a pattern reached."""
+    return summary.join(effectiveness, "fingerprint", "left")
+
+
 def pattern_effectiveness(a: DataFrame, q: DataFrame) -> DataFrame:
     """Best state any suggestion of a pattern reached, and its best confirmed gain."""
     text = q.select(F.col("id").alias("slow_query_id"), F.col("fingerprint"))

@@ -128,6 +128,18 @@ def _pending_results(t: Tables) -> DataFrame:
     )
 
 
+def _answered_results(t: Tables) -> DataFrame:
+    """Pending queries analysed with the model's replies."""
+    parsed = replies.parse_ai_replies(t.replies())
+    results = analysis.analyze_pending(t.queries(), analyses(t), AS_OF, replies=parsed)
+    return results.select(
+        "slow_query_id", "problem", "root_cause", items_text().alias("suggestions"), "improvement_level",
+        "estimated_speedup", F.col("confidence_score").cast("double").alias("confidence"),
+        F.col("analysis_method").alias("method"), F.col("analysis_metadata.ai_provider").alias("provider"),
+        F.array_join("analysis_metadata.tables", ",").alias("tables"),
+    )
+
+
 def _statuses(t: Tables) -> DataFrame:
     q = t.queries()
     results = analysis.analyze_pending(q, analyses(t), AS_OF)
@@ -180,6 +192,10 @@ ENTRIES: dict[str, Entry] = {
             "findings",
         ),
     ),
+    "analyze_pending_with_replies": Entry(
+        _answered_results,
+        sql(f"{_MERGED_SQL} AND status = 'NEW'", "findings", "replies"),
+    ),
     "apply_status": Entry(
         _statuses,
         sql(

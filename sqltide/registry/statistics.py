@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.fixtures import AS_OF, Tables
-from sqltide.operators import joins, ranking, stats
-from sqltide.registry.base import Entry, analyses, feedback, rounded
+from sqltide.operators import joins, learning, ranking, stats
+from sqltide.registry.base import Entry, analyses, evaluated, feedback, rounded
 from sqltide.registry.oracle import SUMMARY_COLUMNS, sql
 from sqltide.sources.store import latest_db_metadata
 
@@ -200,6 +200,36 @@ ENTRIES: dict[str, Entry] = {
         lambda t: rounded(stats.impactful_tables(t.queries()), "avg_duration_ms"),
         sql(f"SELECT {_TABLE_COLUMNS} FROM impactful", "impactful"),
     ),
+    "impactful_tables_from_plan": Entry(
+        lambda t: rounded(stats.impactful_tables(t.queries(), from_plan=True), "avg_duration_ms"),
+        sql(
+            "SELECT source_db_type, source_db_host, table_name, count(*) AS query_count, "
+            "round(CAST(sum(duration_ms) AS double) / count(*), 6) AS avg_duration_ms, "
+            "count(DISTINCT fingerprint) AS distinct_queries FROM (SELECT *, CASE source_db_type "
+            "WHEN 'mysql' THEN json_extract_string(plan_json, '$.query_block.table.table_name') "
+            "WHEN 'postgres' THEN json_extract_string(plan_json, '$.Plan.\"Relation Name\"') END AS table_name "
+            "FROM q) x WHERE table_name IS NOT NULL GROUP BY source_db_type, source_db_host, table_name",
+            "q",
+        ),
+    ),
+    "pattern_list": Entry(
+        lambda t: rounded(
+            shown(
+                learning.pattern_list(
+                    summary(t), learning.pattern_effectiveness(evaluated(t), t.queries())
+                )
+            ),
+            "last_suggestion_gain",
+        ),
+        sql(
+            f"SELECT {SUMMARY_COLUMNS}, effectiveness_best, last_suggestion_gain FROM summary LEFT JOIN ("
+            "SELECT fingerprint, CASE max(CASE state WHEN 'CONFIRMED' THEN 3 WHEN 'PENDING' THEN 2 ELSE 1 END) "
+            "WHEN 3 THEN 'CONFIRMED' WHEN 2 THEN 'PENDING' ELSE 'FAILED' END AS effectiveness_best, "
+            "round(max(gain_ratio) FILTER (state = 'CONFIRMED'), 6) AS last_suggestion_gain "
+            "FROM evaluated GROUP BY fingerprint) e USING (fingerprint)",
+            "summary", "evaluated",
+        ),
+    ),
     "case_band_summary": Entry(
         lambda t: rounded(
             stats.case_band_summary(t.queries()), "very_slow_percent", "slow_percent", "ok_percent"
