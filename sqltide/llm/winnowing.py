@@ -115,14 +115,19 @@ def compared_documents(documents: DataFrame) -> DataFrame:
     as many of the next document.  Ids are taken as unique; a row whose id is
     repeated or null meets every row of its neighbour's id, or none.
     """
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins read one shuffle of the texts.
+    texts = (
+        documents.where("doc_id IS NOT NULL")
+        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .repartition("doc_id")
+    )
     links = with_next(
         documents.where("doc_id IS NOT NULL").select(
             "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")
         ),
         "doc_id",
     )
-    following = links.join(texts.withColumnRenamed("doc_id", "next"), "next").select(
+    following = links.join(texts.select(F.col("doc_id").alias("next"), "text"), "next").select(
         "doc_id", F.expr("substring(text, 1, n div 2)").alias("put"), "text"
     )
     following = with_fingerprint(following, "text", "fp").select("doc_id", "put", hashes("fp").alias("next_hashes"))
