@@ -80,24 +80,3 @@ def test_all_are_registered():
 def test_against_sql(spark, name):
     odd = differences(registered.queries()[name](spark, SMALL), connect(SMALL), registered.oracle_sql()[name])
     assert odd is None
-
-
-class Session:
-    """As much of a session as the choice of the folder asks for."""
-
-    def __init__(self, master, folder):
-        self.conf = self.sparkContext = self
-        self.master, self.folder = master, folder
-
-    def getConf(self):
-        return self
-
-    def get(self, key, default=None):
-        return self.folder
-
-
-def test_shared_folder():
-    assert shared.shared_folder(Session("spark://host", "hdfs://store/folder/")) == "hdfs://store/folder"
-    assert shared.shared_folder(Session("local[2]", None)).startswith("/tmp/run-")
-    with pytest.raises(ValueError):
-        shared.shared_folder(Session("spark://host", None))
