@@ -337,3 +337,24 @@ def test_schema_context_and_metadata(spark):
     got = joins.schema_context(q, store.latest_db_metadata(meta)).collect()
     found = {r.id: [(e.table_name, e.row_count, e.indexes) for e in r.schema_context] for r in got}
     assert found == {"q0": [("t", 5, ["a", "b"]), ("u", 6, [])], "q1": [("nowhere", None, None)], "q2": []}
+
+
+class Session:
+    """As much of a session as the choice of the shared folder asks for."""
+
+    def __init__(self, master, folder):
+        self.conf = self.sparkContext = self
+        self.master, self.folder = master, folder
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self.folder
+
+
+def test_shared_folder():
+    assert store.shared_folder(Session("spark://host", "hdfs://store/folder/")) == "hdfs://store/folder"
+    assert store.shared_folder(Session("local[2]", None)).startswith("/tmp/run-")
+    with pytest.raises(ValueError):
+        store.shared_folder(Session("spark://host", None))
