@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltide.llm import exact_dedup, near_dedup, packing, quality, toxicity
+from sqltide.llm.idfilter import without
 from sqltide.llm.shared import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,30 +32,35 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _one_row_each(rows: DataFrame) -> DataFrame:
-    """One row of each id: rows that repeat an id are reduced to the least by their columns."""
+    """One row of each id and text, the least by its columns, where rows repeat an id."""
     repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rows
     again = F.struct(*[F.col(c) for c in COLUMNS if c != "doc_id"])
-    kept = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(again).alias("row"))
+    same = exact_dedup.lower_ascii(F.col("text")).alias("norm")
+    kept = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id", same).agg(F.min(again).alias("row"))
     return rows.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(kept.select("doc_id", "row.*"))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is kept; documents without an id cannot be told apart and stay."""
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    found = docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*COLUMNS)
-    return found.union(docs.where("doc_id IS NULL").select(*COLUMNS))
+def _dropped(decisions: DataFrame) -> DataFrame:
+    """The ids of which no row is kept."""
+    rows = decisions.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    return rows.agg(F.bool_or("kept").alias("kept")).where("NOT kept").select("id")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text, but for the case of A to Z, the one with the smallest id stays."""
-    return _one_row_each(_only(docs, exact_dedup.exact_groups(docs).where("kept")))
+    """Of documents with the same text, but for the case of A to Z, the one with the smallest id stays.
+
+    Documents without an id cannot be told apart and stay.
+    """
+    dropped = stored(_dropped(exact_dedup.exact_groups(docs)), "pipeline-copies")
+    return _one_row_each(without(docs.select(*COLUMNS), dropped, "doc_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
-    return _only(docs, near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
+    """Of each group of near duplicates, the document with the smallest id stays; those without an id stay."""
+    dropped = stored(_dropped(near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)), "pipeline-near-copies")
+    return without(docs.select(*COLUMNS), dropped, "doc_id")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sqltide.llm import shingles
 from sqltide.llm.bpe import text_slices
 from sqltide.llm.components import components
+from sqltide.llm.idfilter import perhaps_in
 from sqltide.llm.shared import stored
 
 VALUES = 128  # minhash values of a set
@@ -35,7 +36,6 @@ LEAF = 64  # sets compared exhaustively in one node or block
 DENSE = 0.5  # chance that two sets of a node share a child, from which the node stops branching
 DEPTH = 24
 BLOCK_BYTES = 16_000_000
-FILTER_BITS = 1 << 24  # of the filter that keeps other texts out of the shuffle; 2 MB at any size
 
 
 def trees_for(threshold: float, recall: float, branches: int = BRANCHES) -> int:
@@ -252,22 +252,6 @@ def similar(sets: list[bytes], percent: int) -> np.ndarray:
     return 100 * shared >= percent * union
 
 
-def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose ``id`` may be among ``ids``, by a bitmap of hashed ids of fixed size.
-
-    It only saves shuffling: an exact join follows, and a bitmap that is full lets all rows pass.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.select(place.alias("place")).groupBy(
-        F.bitmap_bucket_number("place").alias("bucket")
-    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
-    set_ = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
-    return met.where(set_).select(*rows.columns)
-
-
 def verified_links(documents: DataFrame, members: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Links inside clusters, on full sets.
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.helpers import documents, table
-from sqltide.llm import components, exact_dedup, line_dedup, near_dedup, shingles
+from sqltide.llm import components, exact_dedup, idfilter, line_dedup, near_dedup, shingles
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -194,7 +194,16 @@ def test_passages_keep_rows_and_columns(spark):
 
 
 def test_the_filter_loses_no_row_and_drops_most_others(spark):
-    rows = spark.range(20_000).select("id", F.lit("x").alias("text"))
-    got = [r.id for r in near_dedup.perhaps_in(rows, spark.range(0, 20_000, 97)).collect()]
+    rows = spark.range(20_000).union(spark.createDataFrame([(None,)], "id long")).select("id", F.lit("x").alias("text"))
+    ids = spark.range(0, 20_000, 97)
+    got = [r.id for r in idfilter.perhaps_in(rows, ids).collect()]
     assert set(range(0, 20_000, 97)) <= set(got) and len(got) < 300
-    assert near_dedup.perhaps_in(rows, spark.range(0)).collect() == []
+    assert idfilter.perhaps_in(rows, spark.range(0)).collect() == []
+    left = [r.id for r in idfilter.without(rows, ids, "id").collect()]
+    assert sorted(left, key=str) == sorted({*range(20_000), None} - set(range(0, 20_000, 97)), key=str)
+
+
+def test_a_full_filter_still_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(idfilter, "BITS", 2)
+    rows = spark.range(100)
+    assert sorted(r.id for r in idfilter.without(rows, spark.range(50), "id").collect()) == list(range(50, 100))
