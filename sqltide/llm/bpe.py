@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,7 +69,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = load(path)
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self.memory = MEMO
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -85,17 +86,17 @@ class Encoder:
             counts.append(len(cut) // 2 + 1)
         return parts, np.array(after), np.array(counts)
 
-    def ids_of(self, piece: bytes) -> list[int]:
+    def ids_of(self, piece: bytes) -> bytes:
         found = self.memo.get(piece)
         if found is None:
             if len(self.memo) >= self.memory:
                 self.memo.clear()
-            found = merge(piece, self.vocabulary)
+            found = array("i", merge(piece, self.vocabulary)).tobytes()
             if len(piece) <= 64:
                 self.memo[piece] = found
         return found
 
-    def lists(self, distinct: list[bytes]) -> list[list[int]]:
+    def lists(self, distinct: list[bytes]) -> list[bytes]:
         return [self.ids_of(p) for p in distinct]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +106,8 @@ class Encoder:
         parts, after, counts = self.units(texts)
         pieces = pretokens.split(parts)
         lists = self.lists(pieces.distinct)
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), dtype=np.int32, count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), dtype=np.int32)
         origin = np.cumsum(sizes) - sizes
         n = sizes[pieces.codes]
         total = np.concatenate([[0], np.cumsum(n)])

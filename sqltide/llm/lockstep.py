@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,7 @@ from sqltide.llm.bpe import Encoder, merge
 from sqltide.llm.vocabulary import Vocabulary
 
 WIDTHS = (8, 16, 32)  # bytes; longer pre-tokens are merged on their own
+MEMO = 500_000  # distinct pre-tokens remembered by a worker
 NONE = np.int64(1) << 60
 
 
@@ -25,13 +27,13 @@ class PairTable:
 
     def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank << 20 | merged id of each pair; ``NONE`` where there is no merge or no right side."""
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.keys, key)
         return np.where((self.keys[at] == key) & (right >= 0), self.values[at], NONE)
 
 
-def merge_many(pieces: list[bytes], width: int, table: PairTable, byte_ids: np.ndarray) -> list[list[int]]:
-    """Ids of each piece of at most ``width`` bytes.
+def merge_many(pieces: list[bytes], width: int, table: PairTable, byte_ids: np.ndarray) -> list[bytes]:
+    """Ids, as 32-bit numbers, of each piece of at most ``width`` bytes.
 
     Every row takes its lowest merge, the leftmost among equals, in each step; rows
     without merges are done.
@@ -39,19 +41,21 @@ def merge_many(pieces: list[bytes], width: int, table: PairTable, byte_ids: np.n
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, width)
     # One column of padding, so that the last pair has a right side.
-    ids = np.full((len(pieces), width + 1), -1, dtype=np.int64)
+    ids = np.full((len(pieces), width + 1), -1, dtype=np.int32)
     ids[:, :width] = np.where(np.arange(width) < sizes[:, None], byte_ids[raw], -1)
     best = table.merges(ids[:, :-1], ids[:, 1:])
     rows, column = np.arange(len(pieces)), np.arange(width + 1)
-    done: list[list[int]] = [[]] * len(pieces)
+    done = [b""] * len(pieces)
     while len(rows):
         at = best.argmin(axis=1)
         here = np.arange(len(rows))
         found = best[here, at]
         ended = found >= NONE
         if ended.any():
-            for row, left in zip(rows[ended].tolist(), ids[ended].tolist()):
-                done[row] = left[: left.index(-1)]
+            flat, step = ids[ended].tobytes(), 4 * (width + 1)
+            ends = 4 * (ids[ended] >= 0).sum(axis=1)
+            for i, (row, n) in enumerate(zip(rows[ended].tolist(), ends.tolist())):
+                done[row] = flat[i * step : i * step + n]
             going = ~ended
             rows, ids, best, at, found = rows[going], ids[going], best[going], at[going], found[going]
             here = np.arange(len(rows))
@@ -75,9 +79,10 @@ class LockstepEncoder(Encoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.table = PairTable(self.vocabulary)
-        self.byte_ids = np.array(self.vocabulary.byte_ids, dtype=np.int64)
+        self.byte_ids = np.array(self.vocabulary.byte_ids, dtype=np.int32)
+        self.memory = MEMO
 
-    def lists(self, distinct: list[bytes]) -> list[list[int]]:
+    def lists(self, distinct: list[bytes]) -> list[bytes]:
         out = [self.memo.get(p) for p in distinct]
         new = [i for i, ids in enumerate(out) if ids is None]
         if len(self.memo) + len(new) > self.memory:
@@ -89,7 +94,7 @@ class LockstepEncoder(Encoder):
                     out[i] = self.memo[distinct[i]] = ids
         for i in new:
             if out[i] is None:
-                out[i] = merge(distinct[i], self.vocabulary)
+                out[i] = array("i", merge(distinct[i], self.vocabulary)).tobytes()
         return out
 
 

@@ -76,7 +76,8 @@ def packed(
         (F.sum("tokens").over(order) - F.col("tokens")).alias("base"),
         F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
-    placed = stream.join(places, "part").withColumn("at", F.col("base") + F.col("before"))
+    # One row per task of the first pass: small enough to send everywhere.
+    placed = stream.join(F.broadcast(places), "part").withColumn("at", F.col("base") + F.col("before"))
     cut = F.expr(
         f"""transform(sequence(at div {length}, (at + doc_tokens - 1) div {length}), s -> named_struct(
             'sequence_id', s,
