@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 
 from sqltide.llm.bpe import text_slices
 from sqltide.llm.labelled import held_out, sample, training_labels
+from sqltide.llm.shared import stored
 from sqltide.llm.shingles import Words
 
 SAMPLE = 20_000  # toxic texts, and unlabelled texts, to learn from, at most
 THRESHOLD = 0.5
 PREFIXES = (6, 7, 8, 9, 10)  # bytes of a word's beginning
-FEATURES = 5_000  # those most telling of toxic texts
+CANDIDATES = 50_000  # features most frequent in toxic texts that are looked at
+FEATURES = 5_000  # those of them most telling of toxic texts
+LEAST = 3  # toxic texts with a feature, at least
 SHORT, POWER, SCALE = 50, 0.75, 30.0
 LIFT = 3.0  # share among toxic texts over share among unlabelled ones, at least
 ROUNDS, RATE, DECAY = 600, 0.1, 1e-5
@@ -89,7 +92,25 @@ class Model:
 Row = tuple[np.ndarray, np.ndarray]  # feature hashes of a text and their values
 
 
-def fit(toxic: list[Row], unlabelled: list[Row], prior: float) -> Model:
+def telling(seen: np.ndarray, toxic: np.ndarray, n_toxic: int, other: np.ndarray, n_other: int) -> np.ndarray:
+    """The features, sorted, whose share among toxic texts is ``LIFT`` times that among unlabelled ones."""
+    share, elsewhere = toxic / max(n_toxic, 1), (other + 1) / (n_other + 1)
+    use = np.flatnonzero((toxic >= LEAST) & (share >= LIFT * elsewhere))
+    use = use[np.lexsort((seen[use], elsewhere[use] - share[use]))][:FEATURES]
+    return np.sort(seen[use])
+
+
+def telling_of(toxic: list[Row], unlabelled: list[Row]) -> np.ndarray:
+    """``telling`` features of texts that are at hand."""
+    seen, n = np.unique(np.concatenate([f for f, _ in toxic]), return_counts=True)
+    every, m = np.unique(np.concatenate([f for f, _ in unlabelled]), return_counts=True)
+    other = np.zeros(len(seen), dtype=np.int64)
+    both, at, where = np.intersect1d(seen, every, assume_unique=True, return_indices=True)
+    other[at] = m[where]
+    return telling(seen, n, len(toxic), other, len(unlabelled))
+
+
+def fit(toxic: list[Row], unlabelled: list[Row], prior: float, known: np.ndarray | None = None) -> Model:
     """Minimises the non-negative risk on the logistic loss.
 
     The risk is prior * R(toxic as toxic) + max(0, R(unlabelled as clean) -
@@ -101,14 +122,8 @@ def fit(toxic: list[Row], unlabelled: list[Row], prior: float) -> Model:
     flat = float(np.log(prior / (1 - prior)))
     if not toxic or not unlabelled:
         return Model(np.empty(0, np.uint64), np.empty(0), flat)
-    seen, in_toxic = np.unique(np.concatenate([f for f, _ in toxic]), return_counts=True)
-    every, in_unlabelled = np.unique(np.concatenate([f for f, _ in unlabelled]), return_counts=True)
-    at = np.minimum(np.searchsorted(every, seen), max(len(every) - 1, 0))
-    elsewhere = np.where(every[at] == seen, in_unlabelled[at], 0) if len(every) else np.zeros(len(seen))
-    share, other = in_toxic / len(toxic), (elsewhere + 1) / (len(unlabelled) + 1)
-    use = np.flatnonzero((in_toxic >= 3) & (share >= LIFT * other))
-    use = use[np.lexsort((seen[use], other[use] - share[use]))][:FEATURES]
-    known = np.sort(seen[use])
+    if known is None:
+        known = telling_of(toxic, unlabelled)
     if not len(known):
         return Model(known, np.empty(0), flat)
 
@@ -148,41 +163,74 @@ def fit(toxic: list[Row], unlabelled: list[Row], prior: float) -> Model:
     return Model(known, theta[:-1], float(theta[-1]))
 
 
-def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE) -> Model:
-    """Learns from at most ``limit`` toxic and ``limit`` unlabelled texts outside the held-out fold.
+def document_counts(texts: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """In how many texts each feature, or each known one, occurs."""
 
-    The prior is the share of toxic labels there.  Features are taken where
-    the texts are; the driver gets the feature hashes of the sample only.
-    """
-    rows = labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
-    prior = rows.agg(F.avg((F.col(column) == 1).cast("double"))).first()[0] or 0.0
-    toxic = training_labels(labels.where(F.col(column) == 1), column, limit)
-    others = sample(
-        documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), limit
-    ).withColumn("label", F.lit(0))
-    chosen = F.broadcast(toxic.union(others))
-    texts = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "label")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, run_texts in text_slices(batch.column(0)):
+                found = features(run_texts, known).hash
+                each, n = np.unique(found if known is None else known[found], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n)], ["feature", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "feature long, n long")
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def known_features(texts: DataFrame, known: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Label, known features and values of each text, on the driver; in an order that does not vary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, run_texts in text_slices(batch.column(0)):
-                found = features(run_texts)
+                found = features(run_texts, known)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(found.owner, minlength=len(run_texts)))])
                 lists = [
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
-                    for x in (found.hash.view(np.int64), found.value)
+                    for x in (found.hash.astype(np.int32), found.value.astype(np.float32))
                 ]
                 label = batch.column(1).slice(start, len(run_texts))
                 yield pa.RecordBatch.from_arrays([*lists, label], ["found", "value", "label"])
 
-    got = texts.mapInArrow(run, "found array<long>, value array<double>, label int").toArrow()
+    got = texts.select("text", "label").mapInArrow(run, "found array<int>, value array<float>, label int").toArrow()
     rows = [
-        (y, np.asarray(f.values, dtype=np.int64).view(np.uint64), np.asarray(v.values, dtype=np.float64))
+        (y, known[np.asarray(f.values, dtype=np.int64)], np.asarray(v.values, dtype=np.float64))
         for f, v, y in zip(got.column("found"), got.column("value"), got.column("label").to_pylist())
     ]
-    # Rows arrive in any order; sums of floats depend on it.
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    return fit([(f, v) for y, f, v in rows if y == 1], [(f, v) for y, f, v in rows if y == 0], prior)
+    return sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+
+
+def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE) -> Model:
+    """Learns from at most ``limit`` toxic and ``limit`` unlabelled texts outside the held-out fold.
+
+    The prior is the share of toxic labels there.  Features are taken and
+    counted where the texts are; the driver gets the counts of at most
+    ``CANDIDATES`` features and, of the sample, the ``FEATURES`` chosen from them.
+    """
+    rows = labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
+    prior = rows.agg(F.avg((F.col(column) == 1).cast("double"))).first()[0] or 0.0
+    toxic = training_labels(labels.where(F.col(column) == 1), column, limit)
+    others = sample(
+        documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), limit
+    ).withColumn("label", F.lit(0))
+    # At most two times the limit.
+    chosen = F.broadcast(toxic.union(others))
+    texts = stored(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "label"), "toxicity-sample")
+    counts = dict(texts.groupBy("label").count().collect())
+    frequent = document_counts(texts.where("label = 1")).where(F.col("n") >= LEAST)
+    table = frequent.orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
+    order = np.argsort(table["feature"].to_numpy(dtype=np.int64).view(np.uint64))
+    candidates = table["feature"].to_numpy(dtype=np.int64).view(np.uint64)[order]
+    if not len(candidates):
+        return fit([], [], prior)
+    other = np.zeros(len(candidates), dtype=np.int64)
+    met = document_counts(texts.where("label = 0"), candidates).toPandas()
+    other[np.searchsorted(candidates, met["feature"].to_numpy(dtype=np.int64).view(np.uint64))] = met["n"]
+    known = telling(candidates, table["n"].to_numpy()[order], counts.get(1, 0), other, counts.get(0, 0))
+    if not len(known):
+        return fit([], [], prior)
+    found = known_features(texts, known)
+    return fit([(f, v) for y, f, v in found if y == 1], [(f, v) for y, f, v in found if y == 0], prior, known)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
