@@ -29,7 +29,7 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
-    return winnowing.compared_documents(table(spark, folder, "documents"))
+    return winnowing.compared_documents(table(spark, folder, "documents"), without_id=True)
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:

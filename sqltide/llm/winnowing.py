@@ -9,6 +9,8 @@ window minima likewise, so the work is linear in the text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,54 +91,60 @@ def likeness(left: str, right: str) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / total)
 
 
-def with_next(ids: DataFrame, key: str) -> DataFrame:
-    """Adds ``next``: the key that follows in descending order, after the last the first.
+def with_next(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds ``next``: the ``order`` columns of the row that follows in descending order, after the last the first.
 
-    The keys are range-partitioned; the neighbour of a piece's first row comes
-    from the piece before, of which one row each is looked at.
+    No two rows are equal in ``order``; nulls are least.  The rows are
+    range-partitioned; the neighbour of a piece's first row comes from the
+    piece before, of which one row each is looked at.
     """
-    pieces = stored(ids.repartitionByRange(key).withColumn("_piece", F.spark_partition_id()), "winnowing")
-    local = pieces.withColumn("next", F.lag(key).over(Window.partitionBy("_piece").orderBy(key)))
-    last = pieces.groupBy("_piece").agg(F.max(key).alias("_last"))
-    order = Window.orderBy("_piece")
-    everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pieces = stored(rows.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()), "winnowing")
+    local = pieces.withColumn("next", F.lag(F.struct(*order)).over(Window.partitionBy("_piece").orderBy(*order)))
+    last = pieces.groupBy("_piece").agg(F.max(F.struct(*order)).alias("_last"))
+    by_piece = Window.orderBy("_piece")
+    everywhere = by_piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = last.select(
-        "_piece", F.coalesce(F.lag("_last").over(order), F.max("_last").over(everywhere)).alias("_carried")
+        "_piece", F.coalesce(F.lag("_last").over(by_piece), F.max("_last").over(everywhere)).alias("_carried")
     )
     return (
         local.join(carried, "_piece").withColumn("next", F.coalesce("next", "_carried")).drop("_piece", "_carried")
     )
 
 
-def compared_documents(documents: DataFrame) -> DataFrame:
-    """Every document's fingerprint, that of its edited text, and their likeness.
+def compared_documents(documents: DataFrame, without_id: bool = False) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness: one row for each row.
 
     In the edited text the last half of the characters gives way to the first
-    as many of the next document.  Ids are taken as unique; a row whose id is
-    repeated or null meets every row of its neighbour's id, or none.
+    as many of the next document.  Rows stand in descending order of id; those
+    that share an id stand in the order of a 128-bit hash of id and text, so
+    the next of a repeated row may have the same id, and that of equal rows
+    is an equal row for all but one of them.  Rows with a null id are left
+    out, or, if ``without_id``, stand after all others.
     """
-    # Both joins read one shuffle of the texts.
-    texts = (
-        documents.where("doc_id IS NOT NULL")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartition("doc_id")
+    rows = documents if without_id else documents.where("doc_id IS NOT NULL")
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
+        {"a": F.xxhash64("doc_id", "text"), "b": F.xxhash64(F.lit(1), "doc_id", "text")}
     )
+    # Both joins read one shuffle of the texts, and the sort by which equal rows are counted.
+    copies = Window.partitionBy("a", "b", "doc_id").orderBy("a")
+    texts = rows.repartition("a", "b").withColumn("copy", F.row_number().over(copies))
     links = with_next(
-        documents.where("doc_id IS NOT NULL").select(
-            "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")
-        ),
-        "doc_id",
-    )
-    following = links.join(texts.select(F.col("doc_id").alias("next"), "text"), "next").select(
-        "doc_id", F.expr("substring(text, 1, n div 2)").alias("put"), "text"
+        rows.select("doc_id", "a", "b", F.length("text").alias("n")).distinct(), ("doc_id", "a", "b")
+    ).select("a", "b", "n", F.col("next.a").alias("next_a"), F.col("next.b").alias("next_b"))
+    one_each = texts.where("copy = 1").select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), "text")
+    following = links.join(one_each, ["next_a", "next_b"]).select(
+        "a", "b", F.expr("substring(text, 1, n div 2)").alias("put"), "text"
     )
-    following = with_fingerprint(following, "text", "fp").select("doc_id", "put", hashes("fp").alias("next_hashes"))
-    both = texts.join(following, "doc_id").withColumn(
-        "edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), "put")
+    following = with_fingerprint(following, "text", "fp").select("a", "b", "put", hashes("fp").alias("next_hashes"))
+    both = (
+        texts.join(following, ["a", "b"])
+        .withColumn("put", F.expr("if(copy = 1, put, substring(text, 1, length(text) div 2))"))
+        .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), "put"))
     )
     both = with_fingerprint(both, "text", "fp")
     both = with_fingerprint(both, "edited", "efp")
     both = both.withColumns({"own": hashes("fp"), "own_edited": hashes("efp")})
+    both = both.withColumn("next_hashes", F.expr("if(copy = 1, next_hashes, own)"))
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

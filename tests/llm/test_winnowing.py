@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -97,6 +98,25 @@ def test_one_repeated_and_no_rows(spark):
     assert w.compared_documents(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_one_row_for_each_repeated_row_and_row_without_id(spark, partitions):
+    rows = [(5, "a b"), (5, "a b"), (5, "a b"), (5, "c d e f"), (9, "g"), (2, None), (None, "lost"), (None, "lost"), (None, "h i")]
+    df = documents(spark, rows).repartition(partitions)
+    out = w.compared_documents(df, without_id=True).collect()
+    placed = documents(spark, [(i, t or "") for i, t in rows]).select(
+        "doc_id", "text", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b")
+    )
+    placed = sorted(placed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.a, r.b), reverse=True)
+    expected = Counter()
+    for row, following in zip(placed, [*placed[1:], placed[0]]):
+        half = len(row.text) // 2
+        edited = row.text[: len(row.text) - half] + following.text[:half]
+        expected[row.doc_id, len(row.text), sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == expected
+    assert sum(r.near_next == 1.0 for r in out if r.n_chars == 3 and r.doc_id == 5) >= 2
+    assert w.compared_documents(df).count() == 6
+
+
 def test_no_python_in_the_plan(spark):
     plan = w.compared_documents(documents(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
