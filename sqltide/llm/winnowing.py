@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The units are words, in lower case; a run without white space counts as a word
-per sixteen characters, so texts without spaces have positions as well.  The
-hash of k words is the polynomial that a rolling hash gives; all of them come
+The units are words, in lower case.  In a run of more than sixteen characters
+without white space every character is a unit, so that texts without spaces
+share hashes wherever a common passage begins in them.  The hash of k units is the polynomial that a rolling hash gives; all of them come
 from log2(k) doubling steps (the hash of 2m words from two of m words), and
 window minima likewise, so the work is linear in the text.
 """
@@ -19,7 +19,8 @@ from sqltide.llm.shared import stored
 K, WINDOW = 4, 8
 PRIME = 2147483647
 BASE = 1_000_003
-WORD = r"\S{1,16}"
+WORD = r"\S{1,16}"  # a longer run is cut every sixteen characters from its start
+UNIT = r"(?<!\S)\S{1,16}(?!\S)|\S"  # a longer run is cut into characters
 HIGH = 1 << 32
 
 
@@ -28,23 +29,26 @@ def _doubled(values: str, by: int, combined: str) -> Column:
     return F.expr(f"transform(slice({values}, 1, greatest(size({values}) - {by}, 0)), (x, i) -> {combined})")
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW, unit: str = WORD) -> DataFrame:
     """Adds ``name``: the selected hashes with their positions, in order of position.
 
     Each element is hash * 2**32 + (2**32 - 1 - position), so that the least
     of a window is its least hash, the rightmost among equals.  ``k`` and
-    ``window`` are powers of two.  A text of fewer than k words has the hash
-    of all its words; fewer hashes than a window are one window.  Two texts
-    that share ``k + window - 1`` words in a row share a selected hash.
+    ``window`` are powers of two.  A text of fewer than k units has the hash
+    of all its units; fewer hashes than a window are one window.  Two texts
+    that share ``k + window - 1`` units in a row share a selected hash.  With
+    ``UNIT`` these are whole words, or characters of runs longer than 16 in
+    both texts, as any passage of 17 or more without white space is; with
+    ``WORD`` a longer run must be shared at the same offset, modulo 16.
     Null and empty texts, and texts of white space, have an empty fingerprint.
     """
     if k & (k - 1) or window & (window - 1):
         raise ValueError("k and window must be powers of two")
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(unit), 0)
     out = df.withColumn("_w", words).withColumn(
         "_h", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
     )
-    # Shorter texts are padded with zeros, after all words: their one hash.
+    # Shorter texts are padded with zeros, after all units: their one hash.
     out = out.withColumn(
         "_h",
         F.when(F.size("_h").between(1, k - 1), F.concat("_h", F.array_repeat(F.lit(0).cast("long"), k - F.size("_h")))).otherwise(F.col("_h")),
@@ -71,7 +75,7 @@ def hashes(fingerprint: str) -> Column:
 
 
 def positions(fingerprint: str) -> Column:
-    """Hash and position (of the first word, from 0) of every selected hash."""
+    """Hash and position (of the first unit, from 0) of every selected hash."""
     return F.expr(
         f"transform({fingerprint}, x -> named_struct('hash', cast(x div {HIGH} as int),"
         f" 'position', cast({HIGH - 1} - x % {HIGH} as int)))"
@@ -135,14 +139,14 @@ def compared_documents(documents: DataFrame, without_id: bool = False) -> DataFr
     following = links.join(one_each, ["next_a", "next_b"]).select(
         "a", "b", F.expr("substring(text, 1, n div 2)").alias("put"), "text"
     )
-    following = with_fingerprint(following, "text", "fp").select("a", "b", "put", hashes("fp").alias("next_hashes"))
+    following = with_fingerprint(following, "text", "fp", unit=UNIT).select("a", "b", "put", hashes("fp").alias("next_hashes"))
     both = (
         texts.join(following, ["a", "b"])
         .withColumn("put", F.expr("if(copy = 1, put, substring(text, 1, length(text) div 2))"))
         .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), "put"))
     )
-    both = with_fingerprint(both, "text", "fp")
-    both = with_fingerprint(both, "edited", "efp")
+    both = with_fingerprint(both, "text", "fp", unit=UNIT)
+    both = with_fingerprint(both, "edited", "efp", unit=UNIT)
     both = both.withColumns({"own": hashes("fp"), "own_edited": hashes("efp")})
     both = both.withColumn("next_hashes", F.expr("if(copy = 1, next_hashes, own)"))
     return both.select(

@@ -69,6 +69,27 @@ def test_shared_passages_share_a_hash(spark):
     assert all(set(got[2 * i].h) & set(got[2 * i + 1].h) for i in range(40))
 
 
+def test_units_are_words_and_characters_of_longer_runs(spark):
+    texts = ["a" * 16 + " " + "b" * 17 + "\n" + "c d", "x" * 40, "e " * 3 + "\U0001F600" * 18, "w" * 17 + " one"]
+    units = [["a" * 16, *"b" * 17, "c", "d"], [*"x" * 40], [*"eee", *"\U0001F600" * 18], [*"w" * 17, "one"]]
+    codes = word_codes(spark, [" ".join(x) for x in units])
+    got = table(w.with_fingerprint(documents(spark, texts), "text", "fp", unit=w.UNIT).select("doc_id", w.positions("fp").alias("at")))
+    for i, each in enumerate(units):
+        assert [(r.hash, r.position) for r in got[i].at] == brute([codes[x] for x in each], w.K, w.WINDOW)
+
+
+def test_op4_unspaced_passages_share_a_hash_at_any_offset(spark):
+    draw = random.Random(4)
+    signs = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    rows = []
+    for shift in range(34):
+        passage = signs(17 + shift)
+        # The neighbour of 2 * shift + 1 is 2 * shift.
+        rows += [(2 * shift, signs(40) + passage + signs(9)), (2 * shift + 1, signs(40 + shift) + passage + signs(5))]
+    got = table(w.compared_documents(documents(spark, rows)))
+    assert [s for s in range(34) if not got[2 * s + 1].near_next > 0] == []
+
+
 TEXTS = {10: "a b c d e f", 3: None, 40: "", 41: "É😀xyz", 7: "p " * 3000, 8: "p " * 3000, 100: "one"}
 
 
