@@ -25,8 +25,7 @@ from sqltide.llm.shingles import Words
 SAMPLE = 20_000  # toxic texts, and unlabelled texts, to learn from, at most
 THRESHOLD = 0.5
 PREFIXES = (6, 7, 8, 9, 10)  # bytes of a word's beginning
-CANDIDATES = 50_000  # features most frequent in toxic texts that are looked at
-FEATURES = 5_000  # those of them most telling of toxic texts
+FEATURES = 5_000  # features most telling of toxic texts
 LEAST = 3  # toxic texts with a feature, at least
 SHORT, POWER, SCALE = 50, 0.75, 30.0
 LIFT = 3.0  # share among toxic texts over share among unlabelled ones, at least
@@ -163,20 +162,37 @@ def fit(toxic: list[Row], unlabelled: list[Row], prior: float, known: np.ndarray
     return Model(known, theta[:-1], float(theta[-1]))
 
 
-def document_counts(texts: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """In how many texts each feature, or each known one, occurs."""
+def document_counts(texts: DataFrame) -> DataFrame:
+    """In how many texts each feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, run_texts in text_slices(batch.column(0)):
-                found = features(run_texts, known).hash
-                each, n = np.unique(found if known is None else known[found], return_counts=True)
+                each, n = np.unique(features(run_texts).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n)], ["feature", "n"])
 
     counts = texts.select("text").mapInArrow(run, "feature long, n long")
     return counts.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def telling_among(texts: DataFrame) -> np.ndarray:
+    """``telling`` features of labelled texts; every feature is counted and judged on the executors."""
+    counts = dict(texts.groupBy("label").count().collect())
+    toxic = document_counts(texts.where("label = 1")).where(F.col("n") >= LEAST)
+    other = document_counts(texts.where("label = 0")).withColumnRenamed("n", "m")
+    share = F.col("n") / F.lit(float(max(counts.get(1, 0), 1)))
+    elsewhere = (F.coalesce("m", F.lit(0)) + 1) / F.lit(float(counts.get(0, 0) + 1))
+    judged = toxic.join(other, "feature", "left").select("feature", share.alias("share"), elsewhere.alias("elsewhere"))
+    best = (
+        judged.where(F.col("share") >= LIFT * F.col("elsewhere"))
+        # Ties by the hash as an unsigned number, as in ``telling``.
+        .orderBy(F.col("elsewhere") - F.col("share"), F.col("feature") < 0, "feature")
+        .limit(FEATURES)
+        .toPandas()
+    )
+    return np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def known_features(texts: DataFrame, known: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Label, known features and values of each text, on the driver; in an order that does not vary."""
 
@@ -203,9 +219,9 @@ def known_features(texts: DataFrame, known: np.ndarray) -> list[tuple[int, np.nd
 def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE) -> Model:
     """Learns from at most ``limit`` toxic and ``limit`` unlabelled texts outside the held-out fold.
 
-    The prior is the share of toxic labels there.  Features are taken and
-    counted where the texts are; the driver gets the counts of at most
-    ``CANDIDATES`` features and, of the sample, the ``FEATURES`` chosen from them.
+    The unlabelled texts are a sample of all documents.  The prior is the share
+    of toxic labels there.  Features are taken, counted and judged where the
+    texts are; the driver gets at most ``FEATURES`` and, of the sample, their values.
     """
     rows = labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
     prior = rows.agg(F.avg((F.col(column) == 1).cast("double"))).first()[0] or 0.0
@@ -216,17 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
     # At most two times the limit.
     chosen = F.broadcast(toxic.union(others))
     texts = stored(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "label"), "toxicity-sample")
-    counts = dict(texts.groupBy("label").count().collect())
-    frequent = document_counts(texts.where("label = 1")).where(F.col("n") >= LEAST)
-    table = frequent.orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
-    order = np.argsort(table["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    candidates = table["feature"].to_numpy(dtype=np.int64).view(np.uint64)[order]
-    if not len(candidates):
-        return fit([], [], prior)
-    other = np.zeros(len(candidates), dtype=np.int64)
-    met = document_counts(texts.where("label = 0"), candidates).toPandas()
-    other[np.searchsorted(candidates, met["feature"].to_numpy(dtype=np.int64).view(np.uint64))] = met["n"]
-    known = telling(candidates, table["n"].to_numpy()[order], counts.get(1, 0), other, counts.get(0, 0))
+    known = telling_among(texts)
     if not len(known):
         return fit([], [], prior)
     found = known_features(texts, known)

@@ -125,6 +125,30 @@ def test_unlabelled_learning_finds_hidden_positives():
     assert scores[400] < 0.5 <= scores[401] and scores[402] < 0.5
 
 
+def test_rare_telling_words_stand_beside_any_number_of_common_ones(spark):
+    """Of 54,000 features in four toxic texts none is telling; a word in three others is."""
+    draw = random.Random(2)
+    common = " ".join("".join(draw.choices("abcdefghijklm", k=14)) for _ in range(9000))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:40]
+    texts = [common] * 16 + ["so vile"] * 3 + ["so plain"] * 21
+    labels = spark.createDataFrame([(i, int(n < 4 or 16 <= n < 19)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, list(zip(ids, texts))), labels)
+    assert model.known.tolist() == toxicity.features(["vile"]).hash.tolist()
+    low, high = model.score(["so plain", "so vile"])
+    assert low < high
+
+
+def test_telling_features_counted_by_spark_equal_those_at_hand(spark):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("abcdefgh") * draw.randrange(1, 12) for _ in range(30)) for _ in range(60)]
+    texts = [t + " qq" * (i % 3 == 0) + " rrr" * (i % 6 == 0) for i, t in enumerate(texts)]
+    found = [toxicity.features([t]) for t in texts]
+    rows = [(f.hash, f.value) for f in found]
+    df = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in enumerate(texts)], "text string, label int")
+    expected = toxicity.telling_of(rows[::3], [r for i, r in enumerate(rows) if i % 3])
+    assert len(expected) and toxicity.telling_among(df).tolist() == expected.tolist()
+
+
 def test_without_examples_the_score_is_the_prior():
     assert np.allclose(toxicity.fit([], [], 0.25).score(["a", ""]), 0.25)
 
