@@ -220,12 +220,13 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
     """Learns from at most ``limit`` toxic and ``limit`` unlabelled texts outside the held-out fold.
 
     The unlabelled texts are a sample of all documents.  The prior is the share
-    of toxic labels there.  Features are taken, counted and judged where the
+    of toxic labels there, of ``documents`` only.  Features are taken, counted and judged where the
     texts are; the driver gets at most ``FEATURES`` and, of the sample, their values.
     """
-    rows = labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
+    own = labels.join(documents.select("doc_id"), "doc_id", "left_semi").select("doc_id", column)
+    rows = own.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
     prior = rows.agg(F.avg((F.col(column) == 1).cast("double"))).first()[0] or 0.0
-    toxic = training_labels(labels.where(F.col(column) == 1), column, limit)
+    toxic = training_labels(own.where(F.col(column) == 1), column, limit)
     others = sample(
         documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), limit
     ).withColumn("label", F.lit(0))

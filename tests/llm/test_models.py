@@ -149,6 +149,16 @@ def test_telling_features_counted_by_spark_equal_those_at_hand(spark):
     assert len(expected) and toxicity.telling_among(df).tolist() == expected.tolist()
 
 
+def test_the_prior_and_the_sample_are_of_the_own_documents(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:200]
+    docs = documents(spark, [(i, "vile" if n < 4 else f"plain text {n}") for n, i in enumerate(ids[:40])])
+    labels = spark.createDataFrame([(i, int(n < 2 or n >= 40)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    assert np.allclose(toxicity.train(docs, labels).score([""]), 2 / 40)
+    # Toxic labels of other documents take no places in the sample.
+    labels = labels.selectExpr("doc_id", f"int(doc_id IN ({', '.join(map(str, [*ids[:4], *ids[40:]]))})) AS toxic")
+    assert len(toxicity.train(docs, labels, limit=40).known)
+
+
 def test_without_examples_the_score_is_the_prior():
     assert np.allclose(toxicity.fit([], [], 0.25).score(["a", ""]), 0.25)
 
