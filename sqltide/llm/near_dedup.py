@@ -9,15 +9,15 @@ nodes are compared exhaustively on all minhash values; a node that stays dense
 Independent trees repeat this until the target recall is met.
 
 What the trees find are candidates.  Their connected components, the clusters,
-hold every link that was found, and inside a cluster all sets are compared
-exactly, on full shingle sets; large clusters in pairs of blocks.
+hold every link that was found; inside a cluster links are established exactly,
+on full shingle sets (``families``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,14 @@ from pyspark.sql import functions as F
 from sqltide.llm import shingles
 from sqltide.llm.bpe import text_slices
 from sqltide.llm.components import components
-from sqltide.llm.idfilter import perhaps_in
-from sqltide.llm.shared import stored
+from sqltide.llm.families import classes, in_runs, similar, stars, verified_links  # noqa: F401
+from sqltide.llm.shared import new_folder, stored
 
 VALUES = 128  # minhash values of a set
 BRANCHES = 2  # children that a set joins at each step
-LEAF = 64  # sets compared exhaustively in one node or block
+LEAF = 64  # sets compared exhaustively in one node
 DENSE = 0.5  # chance that two sets of a node share a child, from which the node stops branching
 DEPTH = 24
-BLOCK_BYTES = 16_000_000
 
 
 def trees_for(threshold: float, recall: float, branches: int = BRANCHES) -> int:
@@ -79,66 +78,6 @@ def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def in_runs(
-    df: DataFrame, keys: list[str], handle: Callable[[dict[str, list]], list[tuple]], schema: str
-) -> DataFrame:
-    """Calls ``handle`` with the columns of each run of equal keys; it returns rows.
-
-    The rows are shuffled and sorted by the keys and streamed, so a task holds one run at a time.
-    """
-    names = df.columns
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, out = None, {c: [] for c in names}, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                columns = [pa.array(c) for c in zip(*out)]
-                out.clear()
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
-
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(names))]
-            at = [names.index(k) for k in keys]
-            for row in zip(*columns):
-                own = tuple(row[i] for i in at)
-                if own != current:
-                    if current is not None:
-                        out.extend(handle(held))
-                        if len(out) >= 10_000:
-                            yield from flush()
-                    current, held = own, {c: [] for c in names}
-                for c, value in zip(names, row):
-                    held[c].append(value)
-        if current is not None:
-            out.extend(handle(held))
-        yield from flush()
-
-    return ordered.mapInArrow(run, schema)
-
-
-def stars(ids: list, linked: np.ndarray) -> list[tuple]:
-    """Links that join each connected part of a run: every member to the part's least id."""
-    root = list(range(len(ids)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = top(int(i)), top(int(j))
-        if a != b:
-            root[a] = b
-    least: dict[int, object] = {}
-    for i, x in enumerate(ids):
-        r = top(i)
-        least[r] = min(least.get(r, x), x)
-    return [(x, least[top(i)]) for i, x in enumerate(ids) if x != least[top(i)]]
-
-
 def children(rows: DataFrame, kind: str) -> DataFrame:
     """Each set's children under its node: child, node, set.
 
@@ -181,7 +120,8 @@ def candidate_links(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / VALUES)
     roots = F.explode(F.expr(f"transform(sequence(1, {trees}), t -> xxhash64(t))"))
     level = sets.select(roots.alias("node"), "id", "values")
-    leaves, dense = [], []
+    met = new_folder(sets.sparkSession, "near-met")
+    found = f"child long, a {kind}, b {kind}"
     for depth in range(DEPTH + 1):
         rows = stored(children(level, kind), "near-children")
         sized = stored(
@@ -190,22 +130,23 @@ def candidate_links(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
             ).where("size > 1"),
             "near-nodes",
         )
-        parents = sized.groupBy("node").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("met"))
+        joined = None
         if depth:
             # Chance of sharing a child; a node that is dense is done as a whole.
-            judged = parent_sizes.join(parents, "node", "left").withColumn(
-                "dense",
+            parents = sized.groupBy("node").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("met"))
+            stop = large.join(parents, "node", "left").where(
                 (F.coalesce("met", F.lit(0.0)) / (BRANCHES * F.col("size").cast("double") * F.col("size")) >= DENSE)
-                | F.lit(depth == DEPTH),
-            )
-            judged = stored(judged.select("node", "head", "dense"), "near-judged")
-            stop = judged.where("dense").select("node", "head")
-            dense.append(rows.join(stop, "node").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+                | F.lit(depth == DEPTH)
+            ).select("node", "head")
+            joined = rows.join(stop, "node").select(F.lit(None).alias("child"), F.col("id").alias("a"), F.col("head").alias("b")).distinct()
             sized = sized.join(stop, "node", "left_anti")
-        small = sized.where(F.col("size") <= LEAF)
         # Nodes of the same members are compared once.
-        once = small.groupBy("size", "members", "head").agg(F.min("child").alias("child")).select("child")
-        leaves.append(rows.join(once, "child").select("child", "id"))
+        once = sized.where(F.col("size") <= LEAF).groupBy("size", "members", "head").agg(F.min("child").alias("child")).select("child")
+        leaves = rows.join(once, "child").select("child", F.col("id").alias("a"), F.lit(None).alias("b"))
+        # One table for all levels: members of small nodes by child, links of dense ones.
+        (leaves if joined is None else leaves.union(joined)).select(
+            F.col("child").cast("long"), F.col("a").cast(kind), F.col("b").cast(kind)
+        ).write.mode("append").option("compression", "zstd").parquet(met)
         large = stored(sized.where(F.col("size") > LEAF).select(F.col("child").alias("node"), "size", "head"), "near-large")
         if large.isEmpty():
             break
@@ -215,85 +156,16 @@ def candidate_links(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
             .join(sets.select("id", "values"), "id")
             .select("node", "id", "values")
         )
-        parent_sizes = large
-    met = leaves[0]
-    for more in leaves[1:]:
-        met = met.union(more)
+    every = sets.sparkSession.read.schema(found).parquet(met)
     # The same members may meet on several levels.
     compared = in_runs(
-        met.join(sets.select("id", "values"), "id").select("child", "id", "values"),
+        every.where("child IS NOT NULL").select("child", F.col("a").alias("id")).join(sets.select("id", "values"), "id")
+        .select("child", "id", "values"),
         ["child"],
         lambda g: stars(g["id"], alike(g["values"], least)),
         f"a {kind}, b {kind}",
     )
-    for links in dense:
-        compared = compared.union(links)
-    return compared
-
-
-def similar(sets: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs have 100 * intersection >= percent * union, exactly."""
-    found = [np.frombuffer(s, dtype="<u8") for s in sets]
-    n = np.array([len(s) for s in found], dtype=np.float64)
-    every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), n.astype(np.int64))
-    _, codes, counts = np.unique(every, return_inverse=True, return_counts=True)
-    # Only shingles of two sets or more add to an intersection; sums of ones below 2**24 are exact.
-    common = np.flatnonzero(counts > 1)
-    place = np.full(len(counts), -1)
-    place[common] = np.arange(len(common))
-    at, shared = place[codes], np.zeros((len(found), len(found)))
-    width = max(1, 8_000_000 // max(1, len(found)))
-    for a in range(0, len(common), width):
-        use = (at >= a) & (at < a + width)
-        table = np.zeros((len(found), min(width, len(common) - a)), dtype=np.float32)
-        table[owner[use], at[use] - a] = 1
-        shared += table @ table.T
-    union = n[:, None] + n[None, :] - shared
-    return 100 * shared >= percent * union
-
-
-def verified_links(documents: DataFrame, members: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Links inside clusters, on full sets.
-
-    ``members`` has ``id`` and ``cluster``.  A large cluster is cut into blocks
-    by the hash of the id, by number and size of its sets, and each pair of
-    blocks is a run of its own.
-    """
-    kind = members.schema["id"].dataType.simpleString()
-    texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    texts = perhaps_in(texts, members).join(members, "id")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in text_slices(batch.column(2)):
-                own = batch.slice(start, len(texts))
-                sets = pa.array([s.tobytes() for s in shingles.shingle_sets(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), sets], ["cluster", "id", "shingles"])
-
-    sets = stored(
-        texts.select("cluster", "id", "text").mapInArrow(read, f"cluster {kind}, id {kind}, shingles binary")
-        .where(F.octet_length("shingles") > 0),
-        "near-sets",
-    )
-    blocks = sets.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / LEAF), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)
-        ).cast("int").alias("blocks")
-    )
-    placed = sets.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Alone in its cluster: one run.  Otherwise a block meets every other one.
-    others = F.expr(
-        "CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END"
-    )
-    paired = placed.withColumn("other", F.explode(others)).select(
-        "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "shingles"
-    )
-    return in_runs(
-        paired,
-        ["cluster", "low", "high"],
-        lambda g: stars(g["id"], similar(g["shingles"], percent)),
-        f"a {kind}, b {kind}",
-    )
+    return compared.union(every.where("child IS NULL").select("a", "b"))
 
 
 def near_duplicates(
@@ -319,14 +191,7 @@ def near_duplicates(
     found = components(candidate_links(sets, percent / 100, trees_for(percent / 100, recall)))
     members = stored(found.select("id", F.col("component").alias("cluster")), "near-members")
     linked = components(verified_links(df, members, key, text, percent))
-    classes = sets.select("digest", "id").join(linked, "id", "left").select(
-        "digest", F.coalesce("component", "id").alias("component")
-    )
-    return every.join(classes, "digest", "left").select(
-        F.col("id").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return classes(every, sets, linked, key)
 
 
 def sql(percent: int) -> str:

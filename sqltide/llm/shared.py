@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sqltide.sources.store import new_folder
+from sqltide.sources.store import new_folder as new_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
