@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltide.llm import bpe, chat, exact_dedup, line_dedup, near_dedup, packing, quality, token_counts, toxicity, winnowing
+from sqltide.llm import (
+    bpe, chat, exact_dedup, line_dedup, near_dedup, packing, partenum, periodic_runs, quality, token_counts, toxicity,
+    whitening, winnowing,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +59,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.similar_documents(table(spark, folder, "documents"), percent=90)
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.described_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -74,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_chat_formatting": chat.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_ngram_jaccard_join": partenum.sql(90),
 }
