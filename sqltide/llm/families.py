@@ -1,12 +1,14 @@
 """Exact links inside clusters of candidate sets, without comparing all pairs of a cluster.
 
-A cluster that one task can hold is compared in whole.  In a larger one, a few
-hubs, the sets of a bounded sample that most others resemble, are compared with
-every member, block by block; what resembles a hub is one part with it.  Only
-sets of different parts are compared after that, and only those that share one
-of their rarest shingles: shingles that no hub has come first in the order, so
-the shingles that all of a family share are seldom among them.  The choice of
-hubs changes the work, never the links' components.
+A cluster that one task can hold is compared in whole.  In a larger one, a
+bounded sample gives a few hubs, sets that resemble the most others, and a
+reference, the shingles that most of the sample have.  Every member is compared
+with both, block by block.  What resembles a hub is one part with it, and so is
+what differs from the reference so little that it must resemble the set nearest
+to it.  Only sets of different parts are compared after that, and only those
+that share one of their rarest differences from the reference: what all of a
+family share is no difference.  The sample changes the work, never the links'
+components.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from sqltide.llm.shared import stored
 BLOCK = 64  # sets in a block
 BLOCK_BYTES = 16_000_000
 HUBS = 4
+MEMBER, HUB, REFERENCE = 0, 1, 2
 
 
 def in_runs(
@@ -119,7 +122,11 @@ def similar(sets: list[bytes], percent: int) -> np.ndarray:
 
 
 def chosen_hubs(cluster, ids: list, sets: list[bytes], percent: int) -> list[tuple]:
-    """Up to ``HUBS`` sets of a sample, each resembling the most sets that no earlier one resembles."""
+    """What a sample of a cluster tells: up to ``HUBS`` sets that resemble the most others, and a reference.
+
+    The reference has the shingles of most of the sample, and for all shingles
+    that two or more differ in, how many of the sample differ from it there.
+    """
     linked = similar(sets, percent)
     left, out = np.ones(len(ids), dtype=bool), []
     order = sorted(range(len(ids)), key=lambda i: ids[i])
@@ -128,41 +135,76 @@ def chosen_hubs(cluster, ids: list, sets: list[bytes], percent: int) -> list[tup
         best = max(order, key=lambda i: gain[i])
         if gain[best] < 2 and out:
             break
-        out.append((cluster, ids[best], sets[best]))
+        out.append((cluster, ids[best], HUB, sets[best]))
         left &= ~linked[best]
-    return out
+    every, counts = np.unique(np.concatenate([np.frombuffer(s, dtype="<u8") for s in sets]), return_counts=True)
+    usual = 2 * counts > len(sets)
+    differ = np.where(usual, len(sets) - counts, counts)
+    keep = usual | (differ > 1)
+    rows = np.zeros(int(keep.sum()), dtype=[("shingle", "<u8"), ("differ", "<u4"), ("usual", "u1")])
+    rows["shingle"], rows["differ"], rows["usual"] = every[keep], differ[keep], usual[keep]
+    return [*out, (cluster, None, REFERENCE, rows.tobytes())]
 
 
 def against_hubs(run: dict[str, list], percent: int) -> list[tuple]:
-    """Of each member of a block: cluster, id, size, the hubs it resembles, and its first shingles, rarest first.
+    """Of each member of a block: cluster, id, size, the hubs it resembles, and how it differs from the reference.
 
-    Any two sets that are similar share one of their first shingles, in whatever
-    order, as long as a cluster has one order: shingles that fewer hubs have come first.
+    ``d`` is the number of shingles in which it differs, ``first`` those of them
+    that are rarest among the cluster's differences, as many as matter: sets
+    that are similar differ from each other in k shingles at most, and share
+    the differences from the reference beyond that.
     """
-    hubs = [(i, np.frombuffer(s, dtype="<u8")) for i, s, h in zip(run["id"], run["shingles"], run["hub"]) if h]
+    contents = dict(zip(run["role"], run["shingles"]))
+    table = np.frombuffer(contents[REFERENCE], dtype=[("shingle", "<u8"), ("differ", "<u4"), ("usual", "u1")])
+    known, usual = table["shingle"], table["usual"] == 1
+    hubs = [(i, np.frombuffer(s, dtype="<u8")) for i, s, r in zip(run["id"], run["shingles"], run["role"]) if r == HUB]
     out = []
-    for cluster, own, content, hub in zip(run["cluster"], run["id"], run["shingles"], run["hub"]):
-        if hub:
+    for cluster, own, content, role in zip(run["cluster"], run["id"], run["shingles"], run["role"]):
+        if role != MEMBER:
             continue
         found = np.frombuffer(content, dtype="<u8")
-        n, holders, links = len(found), np.zeros(len(found), dtype=np.int64), []
+        n, links = len(found), []
         for name, other in hubs:
             place = np.minimum(np.searchsorted(other, found), len(other) - 1)
-            common = other[place] == found
-            holders += common
-            shared = int(common.sum())
+            shared = int((other[place] == found).sum())
             if 100 * shared >= percent * (n + len(other) - shared):
                 links.append(name)
-        first = np.argsort(holders, kind="stable")[: n - -(-percent * n // 100) + 1]
-        out.append((cluster, own, n, links, found[first].view(np.int64)))
+        held, more, often = np.zeros(len(known), dtype=bool), found, np.zeros(n, dtype=np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            met = known[place] == found
+            held[place[met]] = True
+            extra = ~(met & usual[place])
+            more, often = found[extra], np.where(met, table["differ"][place], 0)[extra]
+        lacks = usual & ~held
+        differ = np.concatenate([more, known[lacks]])
+        often = np.concatenate([often, table["differ"][lacks]])
+        most = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+        first = differ[np.lexsort((differ, often))][: most + 1].view(np.int64)
+        if len(differ) <= most:
+            # May be similar to another such set without a common difference: a mark after the last one.
+            first = np.append(first, np.int64(0))
+        out.append((cluster, own, n, len(differ), links, first))
     return out
 
 
 def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) between sets of one cluster that the hubs leave in different parts."""
-    parts = components(starred.select(F.col("id").alias("a"), F.explode("links").alias("b")))
+    """Links (``a``, ``b``) that the hubs leave open: to the set nearest the reference, and between parts.
+
+    Sets that differ from the reference in d and e shingles differ from each
+    other in d + e at most, and in d + e less twice their common differences.
+    """
+    most = lambda n, m: f"({n} + {m} - 2 * (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}))"
+    nearest = starred.groupBy("cluster").agg(F.min(F.struct("d", "id", "n")).alias("near"))
+    certain = (
+        starred.join(nearest, "cluster")
+        .where(f"id <> near.id AND d + near.d <= {most('n', 'near.n')}")
+        .select(F.col("id").alias("a"), F.col("near.id").alias("b"))
+    )
+    joined = stored(starred.select(F.col("id").alias("a"), F.explode("links").alias("b")).union(certain), "near-joined")
+    parts = components(joined)
     named = stored(
-        starred.join(parts, "id", "left").select("cluster", "id", "n", "first", F.coalesce("component", "id").alias("part")),
+        starred.join(parts, "id", "left").select("cluster", "id", "n", "d", "first", F.coalesce("component", "id").alias("part")),
         "near-parts",
     )
     counted = named.groupBy("cluster", "part").agg(F.count("*").alias("sets"))
@@ -170,16 +212,15 @@ def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFra
         F.max_by("part", F.struct("sets", "part")).alias("main"), F.count("*").alias("parts")
     ).where("parts > 1")
     open_sets = named.join(main.select("cluster", "main"), "cluster")
-    postings = open_sets.select("cluster", "id", "n", "part", (F.col("part") != F.col("main")).alias("loose"), F.posexplode("first").alias("at", "shingle"))
+    postings = open_sets.select("cluster", "id", "n", "d", "part", (F.col("part") != F.col("main")).alias("loose"), F.posexplode("first").alias("at", "shingle"))
     x, y = postings.where("loose").alias("x"), postings.alias("y")
-    need = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     pairs = (
         x.join(
             y,
             F.expr("x.cluster = y.cluster AND x.shingle = y.shingle AND x.part <> y.part AND (NOT y.loose OR x.id < y.id)")
             & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-            & (F.expr("x.n - x.at") >= need)
-            & (F.expr("y.n - y.at") >= need),
+            & F.expr(f"2 * (x.d - x.at) >= x.d + y.d - {most('x.n', 'y.n')}")
+            & F.expr(f"2 * (y.d - y.at) >= x.d + y.d - {most('x.n', 'y.n')}"),
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
@@ -197,7 +238,7 @@ def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFra
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, f"a {kind}, b {kind}")
+    return joined.union(both.mapInArrow(check, f"a {kind}, b {kind}"))
 
 
 def verified_links(
@@ -249,28 +290,27 @@ def verified_links(
             sets.join(sample.select("cluster", "id").distinct(), ["cluster", "id"]),
             ["cluster"],
             lambda g: chosen_hubs(g["cluster"][0], g["id"], g["shingles"], percent),
-            f"cluster {kind}, id {kind}, shingles binary",
+            f"cluster {kind}, id {kind}, role int, shingles binary",
         ),
         "near-hubs",
     )
     placed = large.select(
-        "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "shingles", F.lit(False).alias("hub")
+        "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", F.lit(MEMBER).alias("role"), "shingles"
     )
-    # A hub meets every block of its cluster: a copy for each 64 sets.
+    # Hubs and reference meet every block of their cluster: a copy for each 64 sets.
     copies = hubs.join(cut, "cluster").select(
-        "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "id", "shingles", F.lit(True).alias("hub")
+        "cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "id", "role", "shingles"
     )
     starred = stored(
         in_runs(
             placed.union(copies),
             ["cluster", "block"],
             lambda g: against_hubs(g, percent),
-            f"cluster {kind}, id {kind}, n long, links array<{kind}>, first array<long>",
+            f"cluster {kind}, id {kind}, n long, d long, links array<{kind}>, first array<long>",
         ),
         "near-stars",
     )
-    of_hubs = starred.select(F.col("id").alias("a"), F.explode("links").alias("b"))
-    return links.union(of_hubs).union(between_parts(starred, sets, percent))
+    return links.union(between_parts(starred, sets, percent))
 
 
 def classes(every: DataFrame, sets: DataFrame, linked: DataFrame, key: str) -> DataFrame:
