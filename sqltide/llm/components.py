@@ -12,15 +12,14 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in ``links`` (``a``, ``b``).
 
     Alternates large-star and small-star steps, which hang every node on the
-    least neighbour, until nothing changes; each round is one aggregation and
+    least neighbour, until every node hangs on one that hangs on none; each round is one aggregation and
     one join on the links, without collecting a node's neighbours.  Rounds
     grow with the logarithm of the longest path.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: the larger neighbours of u hang on the least of u and its neighbours.
@@ -30,11 +29,16 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         edges = stored(hung.where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     # Stars now: every edge leads to the least id of its component.
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and none on a node that hangs itself."""
+    roles = edges.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    counted = roles.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return counted.where("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
