@@ -17,13 +17,14 @@ NEWEST = 5
 
 
 def newest_executions(q: DataFrame, last_n: int = NEWEST) -> DataFrame:
-    """Per pattern text its newest ``last_n`` executions as an array, newest first.
+    """Per pattern text its newest ``last_n`` executions of known duration as an array, newest first.
 
     The row limit is applied in every map task before the shuffle.
     """
     window = Window.partitionBy("fingerprint").orderBy(F.col("captured_at").desc(), F.col("id").desc())
     newest = (
-        q.select("fingerprint", "captured_at", "id", "duration_ms")
+        q.where(F.col("duration_ms").isNotNull())
+        .select("fingerprint", "captured_at", "id", "duration_ms")
         .withColumn("_nth", F.row_number().over(window))
         .where(F.col("_nth") <= last_n)
     )

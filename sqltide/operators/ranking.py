@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.functions import text
 from sqltide.operators.joins import PATTERN
-from sqltide.operators.ordered import with_previous
+from sqltide.operators.ordered import numbered, with_previous
+
+
+def _slowest() -> list[Column]:
+    return [F.col("avg_duration_ms").desc(), *[F.col(c).asc() for c in PATTERN]]
 
 
 def _slowest_first(summary: DataFrame) -> DataFrame:
-    return summary.orderBy(F.col("avg_duration_ms").desc(), *PATTERN)
+    return summary.orderBy(*_slowest())
 
 
 def page_patterns(summary: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
+    """One page, slowest patterns first; rows before it are counted by piece, not gathered."""
     if page < 1 or not 1 <= page_size <= 200:
         raise ValueError("page starts at 1 and page_size is 1 to 200")
-    return _slowest_first(summary).offset((page - 1) * page_size).limit(page_size)
+    first = (page - 1) * page_size + 1
+    found = numbered(summary, _slowest(), "_place", first, first + page_size - 1)
+    return found.orderBy("_place").drop("_place")
 
 
 def page_totals(summary: DataFrame, page_size: int = 50) -> DataFrame:
@@ -60,7 +67,7 @@ def slowest_cases(q: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def pattern_timeline(q: DataFrame, feedback: DataFrame, fingerprint: str | None = None) -> DataFrame:
-    """Executions and feedback of a pattern in time order.
+    """Executions and feedback of a pattern, sorted by pattern, time, kind and id.
 
     Each execution has its change to the previous one of the same pattern
     and source; a feedback row has its gain.
@@ -94,4 +101,4 @@ def pattern_timeline(q: DataFrame, feedback: DataFrame, fingerprint: str | None
         (F.col("new_duration_ms") - F.col("old_duration_ms")).alias("change_ms"),
         "gain_ratio",
     )
-    return executions.unionByName(checks)
+    return executions.unionByName(checks).orderBy("fingerprint", "at", "kind", "id")

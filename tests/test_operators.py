@@ -358,3 +358,95 @@ def test_shared_folder():
     assert store.shared_folder(Session("local[2]", None)).startswith("/tmp/run-")
     with pytest.raises(ValueError):
         store.shared_folder(Session("spark://host", None))
+
+
+def test_unknown_durations_do_not_block_a_measurement(spark):
+    q = spark.createDataFrame(
+        [("a", "p", NOW, Decimal(100)), ("b", "p", NOW + 20 * MINUTE, Decimal(10)), ("c", "p", NOW + 30 * MINUTE, None)]
+        + [(f"n{i}", "p", NOW + (40 + i) * MINUTE, None) for i in range(7)],
+        "id string, fingerprint string, captured_at timestamp_ntz, duration_ms decimal(18,3)",
+    )
+    a = spark.createDataFrame(
+        [("x", "a", "PENDING", None)], "id string, slow_query_id string, effectiveness string, gain_ratio double"
+    )
+    got = learning.evaluate_effectiveness(a, q).first()
+    assert (got.effectiveness, got.new_duration_ms, got.gain_ratio) == ("CONFIRMED", 10.0, 0.9)
+
+
+def test_places_and_ranks_by_piece(spark):
+    draw = random.Random(3)
+    values = [(i, draw.choice([None, 1.0, 2.0, 2.5, 7.0])) for i in range(500)]
+    df = spark.createDataFrame(values, "id int, v double").repartition(6)
+    by = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    want = sorted(values, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = {r.place: r.id for r in ordered.numbered(df, by, "place").collect()}
+    assert [got[i + 1] for i in range(500)] == [i for i, _ in want]
+    page = ordered.numbered(df, by, "place", 101, 130).orderBy("place").collect()
+    assert [(r.place, r.id) for r in page] == [(i + 1, want[i][0]) for i in range(100, 130)]
+    assert ordered.numbered(df, by, "place", 501, 600).collect() == []
+    ranks = {r.id: r["rank"] for r in ordered.dense_ranked(df, F.col("v").desc_nulls_last(), "v", "rank").collect()}
+    place = {7.0: 1, 2.5: 2, 2.0: 3, 1.0: 4, None: 5}
+    assert ranks == {i: place[v] for i, v in values}
+    assert ordered.dense_ranked(df.limit(0), F.col("v").desc(), "v", "rank").collect() == []
+
+
+def test_similar_cases_with_cut_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_BLOCK", 3)
+    new, known = cases(spark, 60, random.Random(1)), cases(spark, 150, random.Random(2))
+    got = {
+        (r.fingerprint, r.db_type, r["rank"], r.case_fingerprint, round(r.similarity, 9))
+        for r in similarity.similar_cases(new, known, 4, 0.4).collect()
+    }
+    assert got == nearest(new.collect(), known.collect(), 4, 0.4)
+
+
+@pytest.mark.parametrize("hubs", [1, 4])
+def test_clusters_match_brute_force_without_all_pairs(spark, monkeypatch, hubs):
+    """Dense groups, chains and single cases: links stay in proportion to the sets."""
+    monkeypatch.setattr(similarity, "_HUBS", hubs)
+    draw, texts = random.Random(8), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(12)]
+        texts += [" ".join(base + [f"x{draw.randrange(10**6)}" for _ in range(draw.randrange(6))]) for _ in range(120)]
+    texts += [" ".join(f"c{i + j}" for j in range(8)) for i in range(0, 60, 2)] + [f"alone{i}" for i in range(10)]
+    texts = list(dict.fromkeys(texts))
+    rows = [(f"c{i}", t, "mysql", None, "p", None, 0.5) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, cases(spark, 1, random.Random(0)).schema)
+    counted, plain = [], similarity._spanning_links
+
+    def spy(*args):
+        links = plain(*args)
+        counted.append(links.count())
+        return links
+
+    monkeypatch.setattr(similarity, "_spanning_links", spy)
+    got = {r.id: r.cluster for r in similarity.case_clusters(df).collect()}
+    sets, root = [set(t.split()) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j]):
+                pairs += 1
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    least = {}
+    for i, t in enumerate(texts):
+        least[top(i)] = min(least.get(top(i), "~"), f"mysql|{t}")
+    assert got == {f"c{i}": least[top(i)] for i in range(len(texts))}
+    if hubs > 1:
+        assert counted[0] < pairs
+
+
+def test_global_stats_of_nothing(spark):
+    q, a = queries(spark), spark.createDataFrame([], "improvement_level string")
+    row = stats.global_stats(q, a, AS_OF).first()
+    assert (row.total_slow_queries, row.databases_monitored, row.top_tables, row.recent_trend) == (0, 0, [], [])
+    levels = spark.createDataFrame([("HIGH",), ("free text",), (None,), ("",)], "improvement_level string")
+    found = stats.global_stats(q, levels, AS_OF).first().improvement_summary
+    assert {r.improvement_level: r["count"] for r in found} == {"HIGH": 1, "OTHER": 1, "UNKNOWN": 2}
