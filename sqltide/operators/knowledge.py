@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltide.functions import text
 from sqltide.operators.dedup import first_per_key
+from sqltide.operators.ordered import dense_ranked
 
 CASE_KEY = ("fingerprint", "db_type")
 CASE_COLUMNS = (
@@ -86,8 +85,11 @@ def build_backlog(
         F.col("checked_at").alias("created_at"),
         F.col("checked_at").alias("updated_at"),
     )
-    if backlog is None:
-        return fresh
+    return fresh if backlog is None else with_fresh_cases(fresh, backlog)
+
+
+def with_fresh_cases(fresh: DataFrame, backlog: DataFrame) -> DataFrame:
+    """The backlog with newly measured cases in place of their older ones, which lend their creation time."""
     born = backlog.select(*CASE_KEY, F.col("created_at").alias("_born"))
     updated = (
         fresh.join(born, list(CASE_KEY), "left")
@@ -126,9 +128,7 @@ def rule_ranking(a: DataFrame) -> DataFrame:
         F.avg("gain_ratio").alias("mean_gain"),
         F.avg((F.col("effectiveness") == "CONFIRMED").cast("double")).alias("confirmed_share"),
     )
-    # One row per suggestion type, of which there are six at most.
-    order = Window.orderBy(F.col("mean_gain").desc_nulls_last())
-    return per_kind.withColumn("rank", F.dense_rank().over(order))
+    return dense_ranked(per_kind, F.col("mean_gain").desc_nulls_last(), "mean_gain", "rank")
 
 
 def training_rows(backlog: DataFrame, min_gain: float = 0.3) -> DataFrame:
@@ -157,3 +157,11 @@ def export_training_dataset(backlog: DataFrame, path: str, min_gain: float = 0.3
     training_rows(backlog, min_gain).select(
         F.to_json(F.struct("input", "output")).alias("value")
     ).write.mode("overwrite").text(path)
+
+
+def read_training_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The exported rows: ``input`` and ``output`` as they were written."""
+    return spark.read.schema(
+        "input struct<db_type:string,fingerprint:string,plan_json:string,schema_context:string>, "
+        "output struct<suggestion:string,gain_ratio:double>"
+    ).json(path)

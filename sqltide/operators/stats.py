@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqltide.functions import measures, text
@@ -261,26 +261,88 @@ def improvement_opportunities(summary: DataFrame) -> DataFrame:
     )
 
 
+# The levels that the summary of a whole workload names; any other text counts as OTHER.
+LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL", "UNKNOWN")
+
+
 def global_stats(
     q: DataFrame, a: DataFrame, as_of: str | datetime, days: int = 7, top: int = 5
 ) -> DataFrame:
     """One nested row: totals, top tables, levels and trend.
 
-    The parts are one-row aggregates that are stacked and folded, not crossed.
+    The queries are read once: each row counts in the totals, in its day and
+    in its tables.  The parts are ranked before they are gathered, so the one
+    row is made of ``top`` tables, ``days`` + 1 days and six levels at most.
     """
-    from sqltide.operators.ranking import top_tables
-
-    def packed(df: DataFrame, name: str, order: str) -> DataFrame:
-        fields = [order, *[c for c in df.columns if c != order]]
-        return df.agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=True).alias(name))
-
-    tables = top_tables(impactful_tables(q), top).withColumn("order", -F.col("query_count"))
-    parts = [
-        packed(tables, "top_tables", "order"),
-        packed(improvement_summary(a), "improvement_summary", "improvement_level"),
-        packed(daily_trend(q, as_of, days), "recent_trend", "date"),
-    ]
-    stacked = global_totals(q)
-    for part in parts:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+    nothing = F.lit(None).cast("string")
+
+    def unit(part: str, one: Column, kind=nothing, host=nothing, table=nothing, date=F.lit(None)) -> Column:
+        # ``one`` is what distinct counts of the part are over.
+        return F.struct(
+            F.lit(part).alias("part"), one.alias("one"), kind.alias("source_db_type"),
+            host.alias("source_db_host"), table.alias("table_name"), date.cast("date").alias("date"),
+        )
+
+    recent = F.when(F.col("captured_at") >= measures.days_before(as_of, days), F.to_date("captured_at"))
+    tables = F.transform(
+        text.extract_tables(text.decode_hex_sql(F.col("full_sql"))),
+        lambda t: unit("table", F.col("sql_hash"), F.col("source_db_type"), F.col("source_db_host"), t),
+    )
+    fixed = F.array(unit("total", F.col("source_db_host")), unit("day", nothing, date=recent))
+    keys = ["part", "source_db_type", "source_db_host", "table_name", "date"]
+    counted = (
+        q.select("status", "duration_ms", F.explode(F.concat(fixed, F.coalesce(tables, F.slice(fixed, 1, 0)))).alias("u"))
+        .select("status", "duration_ms", "u.*")
+        .where("part <> 'day' OR date IS NOT NULL")
+        .groupBy(*keys, "one")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("status") == "ANALYZED").alias("analyzed"),
+            F.count_if(F.col("status") == "NEW").alias("pending"),
+            F.sum("duration_ms").alias("ms"),
+            F.count("duration_ms").alias("known"),
+            F.max("duration_ms").alias("most"),
+        )
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in ("n", "analyzed", "pending", "ms", "known")],
+            F.max("most").cast("double").alias("most"),
+            F.count("one").alias("distinct"),
+        )
+        .withColumn("mean", _mean(F.col("ms"), F.col("known")))
+        .drop("ms", "known")
+    )
+    level = F.coalesce(F.nullif(F.col("improvement_level"), F.lit("")), F.lit("UNKNOWN"))
+    level = F.when(level.isin(*LEVELS), level).otherwise(F.lit("OTHER"))
+    levels = a.groupBy(level.alias("table_name")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("level"))
+    parts = counted.unionByName(levels, allowMissingColumns=True)
+    order = Window.partitionBy("part").orderBy(
+        F.col("n").desc(), "source_db_type", "source_db_host", "table_name", "date"
+    )
+    kept = parts.withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= F.lit(max(top, days + 1, len(LEVELS) + 1))
+    ).where((F.col("part") != "table") | (F.col("place") <= top))
+    of = lambda part: F.col("part") == part
+
+    def packed(part: str, *fields: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(of(part), F.struct(*fields))))
+
+    total = lambda c: F.coalesce(F.max(F.when(of("total"), F.col(c))), F.lit(0))
+    return kept.agg(
+        total("n").alias("total_slow_queries"),
+        total("analyzed").alias("total_analyzed"),
+        total("pending").alias("total_pending"),
+        total("distinct").alias("databases_monitored"),
+        packed(
+            "table", (-F.col("n")).alias("order"), F.col("source_db_type"), F.col("source_db_host"),
+            F.col("table_name"), F.col("n").alias("query_count"), F.col("mean").alias("avg_duration_ms"),
+            F.col("distinct").alias("distinct_queries"),
+        ).alias("top_tables"),
+        packed("level", F.col("table_name").alias("improvement_level"), F.col("n").alias("count")).alias(
+            "improvement_summary"
+        ),
+        packed(
+            "day", F.col("date"), F.col("n").alias("query_count"), F.col("mean").alias("avg_duration_ms"),
+            F.col("most").alias("max_duration_ms"),
+        ).alias("recent_trend"),
+    )

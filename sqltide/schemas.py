@@ -110,3 +110,25 @@ FEEDBACK = T.StructType(
         T.StructField("checked_at", T.TimestampNTZType()),
     ]
 )
+
+# The columns of a knowledge case.
+CASE = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("db_type", T.StringType()),
+        T.StructField("full_sql", T.StringType()),
+        T.StructField("plan_json", T.StringType()),
+        T.StructField("schema_context", T.StringType()),
+        T.StructField("problem", T.StringType()),
+        T.StructField("suggestions", T.ArrayType(SUGGESTION)),
+        T.StructField("applied_fix", T.StringType()),
+        T.StructField("old_duration_ms", T.DoubleType()),
+        T.StructField("new_duration_ms", T.DoubleType()),
+        T.StructField("gain_ratio", T.DoubleType()),
+        T.StructField("effectiveness", T.StringType()),
+        T.StructField("analyzer_version", T.StringType()),
+        T.StructField("created_at", T.TimestampNTZType()),
+        T.StructField("updated_at", T.TimestampNTZType()),
+    ]
+)
