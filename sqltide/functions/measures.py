@@ -13,8 +13,10 @@ LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 EFFECTIVENESS = ("FAILED", "PENDING", "CONFIRMED")
 
 
-def at(moment: str | datetime) -> Column:
-    """A fixed point in time, free of the session time zone."""
+def at(moment: Column | str | datetime) -> Column:
+    """A point in time, free of the session time zone: a fixed one, or that of a column."""
+    if isinstance(moment, Column):
+        return moment.cast("timestamp_ntz")
     text = moment if isinstance(moment, str) else moment.isoformat(sep=" ")
     return F.to_timestamp_ntz(F.lit(text))
 

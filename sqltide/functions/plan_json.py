@@ -84,57 +84,56 @@ def plan_features(plan_json: Column, db_type: Column) -> Column:
     )
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+def _opened(value: Column) -> Column:
+    """A value as a map of its members or as a list of its items; both null for anything else.
 
-
-def _children(value: Column) -> Column:
-    """The objects and lists inside an object or list, under whatever name."""
-    none = F.array().cast("array<variant>")
-    inside = F.when(
-        _is(value, "OBJECT"), F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    ).otherwise(F.try_variant_get(value, "$", "array<variant>"))
-    return F.filter(
-        F.coalesce(inside, none), lambda v: _is(v, "OBJECT") | _is(v, "ARRAY")
+    Each value is cast once by kind; the casts of the other kinds give null at once.
+    """
+    return let(
+        F.try_variant_get(value, "$", "map<string,variant>"),
+        lambda members: F.struct(
+            members.alias("members"),
+            F.when(members.isNull(), F.try_variant_get(value, "$", "array<variant>")).alias("items"),
+        ),
     )
 
 
-def _depth(plan_json: Column) -> Column:
-    """How deep objects and lists are nested, from the brackets outside strings."""
-    bare = F.regexp_replace(plan_json, r'"(?:[^"\\]++|\\.)*+"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
-
-    def step(state: Column, bracket: Column) -> Column:
-        now = state["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(brackets, start, step, lambda s: F.greatest(s["most"], F.lit(1)))
+def _inside(opened: Column) -> Column:
+    none = F.array().cast("array<variant>")
+    return F.coalesce(F.map_values(opened["members"]), opened["items"], none)
 
 
 def plan_node_list(plan_json: Column) -> Column:
-    """Every plan object at any depth, as an array of structs.
+    """Every plan object at any depth, as an array of structs, the outer ones first.
 
     Children are found by being objects or lists, not by their names.  The plan
-    is parsed once and walked level by level inside one expression, as many
-    levels as it has.
+    is parsed once and walked level by level inside one expression until a level
+    holds no objects or lists; there are never more levels than brackets.
     """
     root = F.array_compact(F.array(F.try_parse_json(plan_json)))
-    start = F.struct(root.alias("frontier"), root.alias("seen"))
+    nested = lambda values: F.filter(
+        F.transform(values, _opened), lambda o: o["members"].isNotNull() | o["items"].isNotNull()
+    )
 
     def next_level(state: Column, _: Column) -> Column:
-        return let(
-            F.flatten(F.transform(state["frontier"], _children)),
-            lambda found: F.struct(
-                found.alias("frontier"), F.concat(state["seen"], found).alias("seen")
-            ),
+        found = nested(F.flatten(F.transform(state["frontier"], _inside)))
+        further = let(
+            found,
+            lambda level: F.struct(level.alias("frontier"), F.concat(state["seen"], level).alias("seen")),
         )
+        return F.when(F.size(state["frontier"]) == 0, state).otherwise(further)
 
-    levels = F.sequence(F.lit(1), _depth(plan_json))
+    start = let(nested(root), lambda level: F.struct(level.alias("frontier"), level.alias("seen")))
+    brackets = F.length(F.regexp_replace(plan_json, r"[^{\[]++", ""))
+    levels = F.sequence(F.lit(1), F.greatest(brackets, F.lit(1)))
     nodes = F.aggregate(levels, start, next_level, lambda s: s["seen"])
+    objects = F.filter(nodes, lambda o: o["members"].isNotNull())
     return F.transform(
-        F.filter(nodes, lambda v: _is(v, "OBJECT")),
-        lambda v: F.struct(
-            *[F.try_variant_get(v, f"$['{name}']", kind).alias(name) for name, kind in _FACTS.items()]
+        objects,
+        lambda o: F.struct(
+            *[
+                F.try_variant_get(F.element_at(o["members"], name), "$", kind).alias(name)
+                for name, kind in _FACTS.items()
+            ]
         ),
     )

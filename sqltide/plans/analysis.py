@@ -46,7 +46,7 @@ def analysis_id(slow_query_id: Column, version: str) -> Column:
     return F.md5(F.concat_ws("|", slow_query_id, F.lit(version)).cast("binary"))
 
 
-def to_results(findings: DataFrame, as_of: str | datetime, version: str = "1.0.0") -> DataFrame:
+def to_results(findings: DataFrame, as_of: Column | str | datetime, version: str = "1.0.0") -> DataFrame:
     """Findings in the shape of the analysis_result table."""
     return findings.select(
         analysis_id(F.col("slow_query_id"), version).alias("id"),
@@ -68,7 +68,7 @@ def to_results(findings: DataFrame, as_of: str | datetime, version: str = "1.0.0
 
 def analyze(
     q: DataFrame,
-    as_of: str | datetime,
+    as_of: Column | str | datetime,
     version: str = "1.0.0",
     replies: DataFrame | None = None,
     strict: bool = False,

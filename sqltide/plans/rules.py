@@ -257,6 +257,84 @@ def heuristic_rules(examined: Column, returned: Column, duration_ms: Column) ->
     ]
 
 
+def _node_facts(node: Column) -> Column:
+    """What the findings look at, under one name for both kinds of plan."""
+    kind = F.coalesce(node["access_type"], node["Node Type"])
+    rows = F.coalesce(node["rows_examined_per_scan"], node["Plan Rows"])
+    sorts = F.coalesce(node["using_filesort"], F.lit(False)) | F.coalesce(
+        node["using_temporary_table"], F.lit(False)
+    )
+    return F.struct(
+        kind.alias("kind"),
+        F.coalesce(node["table_name"], node["Relation Name"]).alias("table_name"),
+        rows.alias("rows"),
+        F.when(kind.isin("ALL", "index", "Seq Scan") & (rows > MANY_ROWS), F.lit("FULL_SCAN"))
+        .when((kind == "Nested Loop") & (rows > MANY_ROWS), F.lit("LARGE_NESTED_LOOP"))
+        .when(sorts | (kind == "Sort"), F.lit("SORT_OR_TEMPORARY"))
+        .alias("finding"),
+    )
+
+
+def plan_facts(plan_json: Column) -> Column:
+    """The facts and findings of all nodes of a plan, as an array, the outer ones first."""
+    return F.transform(plan_node_list(plan_json), _node_facts)
+
+
+def node_rules(nodes: Column, root_table: Column, known_sort: Column) -> list[Rule]:
+    """Rules on the nodes below a plan's root: joins, nested loops, sorts and temporary tables.
+
+    The root itself is left to the plan rules: a scan of ``root_table`` and a
+    sort that they have named already (``known_sort``) are not told twice.  Of
+    several scans the one with the most rows is named, of equals the outermost.
+    """
+    of = lambda finding: F.filter(nodes, lambda n: n["finding"] == finding)
+    scans = F.filter(of("FULL_SCAN"), lambda n: ~n["table_name"].eqNullSafe(root_table))
+    most = F.array_max(F.transform(scans, lambda n: n["rows"]))
+    scan = F.get(F.filter(scans, lambda n: n["rows"] == most), F.lit(0))
+    table = F.coalesce(scan["table_name"], F.lit("unknown"))
+    loops = of("LARGE_NESTED_LOOP")
+    # MySQL names no loop: a join that reads its first table many times over is one.
+    tables = F.filter(nodes, lambda n: n["table_name"].isNotNull())
+    joined = F.size(F.array_distinct(F.transform(tables, lambda n: n["table_name"]))) > 1
+    return [
+        Rule(
+            F.size(scans) > 0,
+            {
+                "problem": "Full table scan inside a join",
+                "root_cause": F.concat(
+                    F.lit("The plan reads all of "), table, F.lit(" ("), _grouped(scan["rows"]),
+                    F.lit(" rows, "), scan["kind"], F.lit(") below its root."),
+                ),
+                "improvement_level": "HIGH",
+                "estimated_speedup": "10-100x",
+                "confidence": "0.85",
+            },
+            suggestion(
+                "INDEX", "HIGH",
+                F.concat(F.lit("Add index to "), table, F.lit(" on the columns of its filter")),
+                F.concat(F.lit("-- CREATE INDEX ON "), table, F.lit(" (filter columns)")),
+                "10-100x improvement",
+            ),
+        ),
+        Rule(
+            (F.size(loops) > 0) | ((F.size(scans) > 0) & joined),
+            adds=suggestion(
+                "INDEX", "HIGH", "Add indexes on the join columns of the nested loop",
+                "-- Add index on the inner table's join column", "5-50x improvement",
+            ),
+            raises_low=True,
+        ),
+        Rule(
+            (F.size(of("SORT_OR_TEMPORARY")) > 0) & ~F.coalesce(known_sort, F.lit(False)),
+            adds=suggestion(
+                "INDEX", "MEDIUM", "Add index on the sort columns to avoid a sort or temporary table",
+                "-- Add index on ORDER BY or GROUP BY columns", "2-5x improvement",
+            ),
+            raises_low=True,
+        ),
+    ]
+
+
 def dispatch_rules(
     q: DataFrame,
     strict: bool = False,
@@ -264,13 +342,20 @@ def dispatch_rules(
 ) -> DataFrame:
     """Adds ``rule_branch``, ``analysis_failed`` and the finding to every query.
 
-    ``extra`` appends user rules per branch: mysql, postgres, other, heuristic.
+    Plans are looked at whole: first the rules on the root, then those on the
+    nodes below it, all in one projection.  ``extra`` appends user rules per
+    branch: mysql, postgres, other, heuristic.
     """
     extra = extra or {}
     planned = has_plan(F.col("plan_json"))
-    q = q.withColumn(
-        "_plan",
-        F.when(planned, plan_features(F.col("plan_json"), F.col("source_db_type"))),
+    known = planned & F.col("source_db_type").isin("mysql", "postgres")
+    # A plan with one bracket pair inside another, a root and its table, has no nodes below.
+    below = known & (F.length(F.regexp_replace(F.col("plan_json"), r"[^{]++", "")) > 2)
+    q = q.withColumns(
+        {
+            "_plan": F.when(planned, plan_features(F.col("plan_json"), F.col("source_db_type"))),
+            "_nodes": F.when(below, plan_facts(F.col("plan_json"))),
+        }
     ).withColumn(
         "rule_branch",
         F.when(~planned, F.lit("heuristic"))
@@ -278,9 +363,24 @@ def dispatch_rules(
         .otherwise(F.lit("other")),
     )
     examined, returned = F.col("rows_examined"), F.col("rows_returned")
+    plan, nodes = F.col("_plan"), F.col("_nodes")
+    filesort = plan["uses_filesort"] if strict else plan["has_filesort"]
+    seq_scan = F.when(plan["node_type"] == "Seq Scan", plan["relation_name"])
     findings = {
-        "mysql": fold([*mysql_plan_rules(F.col("_plan"), strict), *extra.get("mysql", ())]),
-        "postgres": fold([*postgres_plan_rules(F.col("_plan")), *extra.get("postgres", ())]),
+        "mysql": fold(
+            [
+                *mysql_plan_rules(plan, strict),
+                *node_rules(nodes, plan["table_name"], filesort),
+                *extra.get("mysql", ()),
+            ]
+        ),
+        "postgres": fold(
+            [
+                *postgres_plan_rules(plan),
+                *node_rules(nodes, seq_scan, F.lit(False)),
+                *extra.get("postgres", ()),
+            ]
+        ),
         "other": fold(extra.get("other", ())),
         "heuristic": fold(
             [
@@ -306,7 +406,7 @@ def dispatch_rules(
         q.withColumn("analysis_failed", F.coalesce(failed, F.lit(False)))
         .withColumns(merged)
         .withColumn("tables", text.extract_tables(text.decode_hex_sql(F.col("full_sql"))))
-        .drop("_plan")
+        .drop("_plan", "_nodes")
     )
 
 
@@ -315,26 +415,14 @@ def plan_nodes(q: DataFrame) -> DataFrame:
     nodes = q.where(has_plan(F.col("plan_json"))).select(
         F.col("id").alias("slow_query_id"),
         "source_db_type",
-        F.posexplode(plan_node_list(F.col("plan_json"))).alias("node_no", "node"),
-    )
-    node = F.col("node")
-    kind = F.coalesce(node["access_type"], node["Node Type"])
-    rows = F.coalesce(node["rows_examined_per_scan"], node["Plan Rows"])
-    sorts = F.coalesce(node["using_filesort"], F.lit(False)) | F.coalesce(
-        node["using_temporary_table"], F.lit(False)
-    )
-    return (
-        nodes.select(
-            "slow_query_id",
-            "source_db_type",
-            "node_no",
-            kind.alias("node_type"),
-            F.coalesce(node["table_name"], node["Relation Name"]).alias("table_name"),
-            rows.try_cast("bigint").alias("node_rows"),
-            F.when(kind.isin("ALL", "index", "Seq Scan") & (rows > MANY_ROWS), F.lit("FULL_SCAN"))
-            .when((kind == "Nested Loop") & (rows > MANY_ROWS), F.lit("LARGE_NESTED_LOOP"))
-            .when(sorts | (kind == "Sort"), F.lit("SORT_OR_TEMPORARY"))
-            .alias("finding"),
-        )
-        .where(F.col("node_type").isNotNull() | F.col("finding").isNotNull())
+        F.posexplode(plan_facts(F.col("plan_json"))).alias("node_no", "node"),
     )
+    return nodes.select(
+        "slow_query_id",
+        "source_db_type",
+        "node_no",
+        F.col("node.kind").alias("node_type"),
+        F.col("node.table_name").alias("table_name"),
+        F.col("node.rows").try_cast("bigint").alias("node_rows"),
+        F.col("node.finding").alias("finding"),
+    ).where(F.col("node_type").isNotNull() | F.col("finding").isNotNull())
