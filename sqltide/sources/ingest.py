@@ -88,12 +88,14 @@ def ingest_pg_stat_statements(
     raw: DataFrame,
     host: Column | str,
     db: str,
-    captured_at: str | datetime,
+    captured_at: Column | str | datetime,
     min_duration_ms: float = 1000.0,
     limit: int | None = None,
 ) -> DataFrame:
     """Statement statistics to slow queries, one per statement.
 
+    ``captured_at`` is the time of the snapshot, or a column of the extract when
+    it holds several.
     The duration is the mean; rows examined counts blocks read and hit.
     """
     raw = exclude_internal(min_duration_filter(_as_text(raw, "query"), min_duration_ms))

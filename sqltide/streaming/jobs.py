@@ -8,7 +8,7 @@ files that are there and ends.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +16,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions, dedup_patterns
+from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions, dedup_patterns, first_per_key
 from sqltide.operators.stats import SOURCE
 from sqltide.plans.analysis import analyze
+from sqltide.plans.replies import parse_ai_replies
 from sqltide.schemas import MYSQL_SLOW_LOG, PG_STAT_STATEMENTS, SLOW_QUERY
 from sqltide.sources.ingest import ingest_mysql_slow_log, ingest_pg_stat_statements
-from sqltide.sources.store import write_results
+from sqltide.sources.store import durable, write_results
 
 _CAPTURED = "captured_at"
 _DAY = "captured_date"
+_BUCKET = "bucket"
+BUCKETS = 256  # of a store of patterns
 
 
 def read_files(
@@ -59,13 +62,22 @@ def stream_snapshots(
     path: str,
     host: Column | str,
     db: str,
-    captured_at: str | datetime,
+    captured_at: Column | str | datetime | None = None,
     fmt: str = "parquet",
     max_files: int | None = None,
     min_duration_ms: float = 1000.0,
 ) -> DataFrame:
-    """Snapshots of statement statistics, as they arrive, to slow-query rows."""
-    raw = read_files(spark, path, PG_STAT_STATEMENTS, fmt, max_files)
+    """Snapshots of statement statistics, as they arrive, to slow-query rows.
+
+    Each snapshot has its own time: that of its rows' ``captured_at``, and where
+    an extract has none, the time its file was written.
+    """
+    schema = T.StructType([*PG_STAT_STATEMENTS.fields, T.StructField(_CAPTURED, T.TimestampNTZType())])
+    raw = read_files(spark, path, schema, fmt, max_files)
+    if captured_at is None:
+        written = to_naive(F.col("_metadata.file_modification_time"))
+        raw = raw.withColumn(_CAPTURED, F.coalesce(F.col(_CAPTURED), written))
+        captured_at = F.col(_CAPTURED)
     return ingest_pg_stat_statements(raw, host, db, captured_at, min_duration_ms)
 
 
@@ -128,20 +140,22 @@ def to_files(
     return _start(writer, checkpoint, processing_time)
 
 
-def _replace_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+def replace_batch(rows: DataFrame, batch_id: int, path: str) -> None:
     # A batch that runs again after a failure overwrites its own rows only.
     write_results(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path)
 
 
-def _others(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+def _others(
+    spark: SparkSession, path: str, schema: T.StructType, batch_id: int, split: T.StructField
+) -> DataFrame:
     """Stored rows of earlier batches, without those of this batch's failed attempt."""
-    added = [T.StructField(_DAY, T.DateType()), T.StructField("batch_id", T.LongType())]
+    added = [split, T.StructField("batch_id", T.LongType())]
     try:
         stored = spark.read.schema(T.StructType([*schema.fields, *added])).parquet(path)
     except Exception as error:  # the first batch finds no table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], T.StructType([*schema.fields, added[0]]))
+        return spark.createDataFrame([], T.StructType([*schema.fields, split]))
     return stored.where(F.col("batch_id") != batch_id).drop("batch_id")
 
 
@@ -170,7 +184,7 @@ def dedup_into_store(
         first, last = batch.agg(
             F.min(F.to_date(_CAPTURED)), F.max(F.to_date(_CAPTURED))
         ).first()
-        store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id)
+        store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id, T.StructField(_DAY, T.DateType()))
         if first is not None:
             # Rows without a time match each other as well.
             inside = F.col(_DAY).between(F.lit(first), F.lit(last)) | F.col(_DAY).isNull()
@@ -183,30 +197,134 @@ def dedup_into_store(
 def patterns_into_store(
     rows: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
 ) -> StreamingQuery:
-    """Stores patterns the table does not hold yet: one row per statement and source."""
+    """Stores patterns the table does not hold yet: one row per statement and source.
+
+    The table is cut into buckets of statements; a batch reads the buckets of
+    its own statements, and of these the columns that name a pattern.
+    """
+    place = F.pmod(F.xxhash64("sql_hash"), F.lit(BUCKETS)).cast("int")
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id)
-        _store_by_day(dedup_patterns(batch.select(*SLOW_QUERY.names), store), batch_id, path)
+        batch = batch.select(*SLOW_QUERY.names).withColumn(_BUCKET, place)
+        # At most one row per bucket.
+        own = [r[0] for r in batch.select(_BUCKET).distinct().collect()]
+        store = _others(batch.sparkSession, path, SLOW_QUERY, batch_id, T.StructField(_BUCKET, T.IntegerType()))
+        fresh = dedup_patterns(batch, store.where(F.col(_BUCKET).isin(own)))
+        (
+            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(_BUCKET, "batch_id")
+            .parquet(path)
+        )
 
     return each_batch(rows, action, checkpoint, processing_time)
 
 
+def _batch_time() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
 def stream_analyze(
     rows: DataFrame,
     path: str,
     checkpoint: str,
-    as_of: str | datetime,
+    as_of: Column | str | datetime | None = None,
     processing_time: str | None = None,
 ) -> StreamingQuery:
-    """Analysis results of every arriving query, each batch stored exactly once."""
+    """Analysis results of every arriving query, each batch stored exactly once.
+
+    They carry the time of their batch unless ``as_of`` says otherwise.
+    """
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        _replace_batch(analyze(batch, as_of), batch_id, path)
+        replace_batch(analyze(batch, _batch_time() if as_of is None else as_of), batch_id, path)
 
     return each_batch(rows, action, checkpoint, processing_time)
 
 
+def with_replies(
+    rows: DataFrame, replies: DataFrame, wait: str = "1 hour", late_by: str = "10 minutes"
+) -> DataFrame:
+    """Each arriving query with its model reply, or without once none can come any more.
+
+    ``replies`` has ``slow_query_id``, ``reply`` and ``arrived_at``.  A reply
+    belongs to a query when it arrived within ``wait`` of its capture time, before
+    or after; both sides are held no longer than that and ``late_by``.  Of
+    several replies each gives a row.
+    """
+    queries = _event_time(rows).withWatermark(_CAPTURED, late_by)
+    arrived = F.col("arrived_at")
+    if isinstance(replies.schema["arrived_at"].dataType, T.TimestampNTZType):
+        arrived = to_instant(arrived)
+    told = replies.select("slow_query_id", "reply", arrived.alias("arrived_at")).withWatermark("arrived_at", late_by)
+    near = F.expr(
+        f"id = slow_query_id AND arrived_at >= {_CAPTURED} - interval {wait} AND arrived_at <= {_CAPTURED} + interval {wait}"
+    )
+    joined = queries.join(told, near, "leftOuter").drop("slow_query_id", "arrived_at")
+    return joined.withColumn(_CAPTURED, to_naive(F.col(_CAPTURED)))
+
+
+def stream_answered(
+    rows: DataFrame,
+    replies: DataFrame,
+    path: str,
+    checkpoint: str,
+    wait: str = "1 hour",
+    late_by: str = "10 minutes",
+    as_of: Column | str | datetime | None = None,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Analysis results with the replies that arrive in time laid over them.
+
+    Replies to one query that come in one batch are merged; later ones give a
+    further result of the same id, of which ``latest_results`` takes the best.
+    """
+
+    def action(batch: DataFrame, batch_id: int) -> None:
+        batch = durable(batch)
+        answered = batch.where(F.col("reply").isNotNull()).select(F.col("id").alias("slow_query_id"), "reply")
+        queries = batch.drop("reply").dropDuplicates(["id"])
+        moment = _batch_time() if as_of is None else as_of
+        replace_batch(analyze(queries, moment, replies=parse_ai_replies(answered)), batch_id, path)
+
+    return each_batch(with_replies(rows, replies, wait, late_by), action, checkpoint, processing_time)
+
+
+def latest_results(results: DataFrame) -> DataFrame:
+    """One stored result per id: the one with the highest confidence, of equal ones the last."""
+    best = [F.col("confidence_score").desc_nulls_last(), F.col("batch_id").desc()]
+    return first_per_key(results, ["id"], best).drop("batch_id")
+
+
+def trend_into_store(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    window: str = "1 day",
+    slide: str | None = None,
+    late_by: str = "1 day",
+    by: Sequence[str] = (),
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Stores, for every batch, the windows that it changed; ``current_trend`` reads the newest state of each.
+
+    Windows are there as soon as they have a row, so at the end of the input
+    none is missing; ``late_by`` bounds what is held, as in ``stream_trend``.
+    """
+    trend = stream_trend(rows, window, slide, None, late_by, by)
+
+    def action(batch: DataFrame, batch_id: int) -> None:
+        replace_batch(batch, batch_id, path)
+
+    return _start(trend.writeStream.outputMode("update").foreachBatch(action), checkpoint, processing_time)
+
+
+def current_trend(stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The newest state of every window."""
+    return first_per_key(stored, [*by, "start", "end"], [F.col("batch_id").desc()]).drop("batch_id")
+
+
 def stream_trend(
     rows: DataFrame,
     window: str = "1 day",
@@ -246,6 +364,62 @@ def stream_trend(
     )
 
 
+class RunHistory(StreamingQueryListener):
+    """One record per micro-batch of every watched job, from the query's own progress.
+
+    ``watched`` marks a job's raw and kept rows; their counts and newest time come
+    back with the progress of the batch, so nothing is read or counted twice.
+    Added to ``spark.streams`` before the queries start.
+    """
+
+    def __init__(self) -> None:
+        self.runs: dict[tuple[str, int], tuple] = {}
+
+    @staticmethod
+    def watched(job: str, raw: DataFrame, keep: Callable[[DataFrame], DataFrame], time_column: str = _CAPTURED) -> DataFrame:
+        """The rows that ``keep`` keeps of ``raw``, both counted."""
+        kept = keep(raw.observe(f"{job}.read", F.count(F.lit(1)).alias("n")))
+        newest = F.max(F.col(time_column).cast("timestamp_ntz")).cast("string").alias("newest")
+        return kept.observe(f"{job}.kept", F.count(F.lit(1)).alias("n"), newest)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        found = dict(progress.observedMetrics)
+        for name in [n for n in found if n.endswith(".read")]:
+            job = name.removesuffix(".read")
+            read, kept = found[name], found.get(f"{job}.kept")
+            if read["n"]:
+                self.runs[job, progress.batchId] = (
+                    job, progress.batchId, read["n"], kept["n"] if kept else None, kept["newest"] if kept else None,
+                    str(progress.timestamp), int(dict(progress.durationMs).get("triggerExecution", 0)),
+                )
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The records: a row for each run, with when it began and how long it took."""
+        rows = spark.createDataFrame(
+            [self.runs[k] for k in sorted(self.runs)],
+            "job string, batch_id bigint, rows_read bigint, rows_kept bigint, newest string, began string, run_ms bigint",
+        )
+        return rows.withColumns(
+            {"newest": F.col("newest").cast("timestamp_ntz"), "began": F.to_timestamp("began")}
+        )
+
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Writes the records by job and batch; those that are there already are replaced."""
+        self.table(spark).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "job", "batch_id"
+        ).parquet(path)
+
+
 class LateRows(StreamingQueryListener):
     """Counts the rows that queries drop for being past the watermark.
 
@@ -307,6 +481,6 @@ def run_history(
         counts = batch.sparkSession.createDataFrame(
             row, "source string, rows_read bigint, rows_kept bigint, newest timestamp_ntz"
         )
-        _replace_batch(counts.withColumn("ran_at", F.current_timestamp()), batch_id, path)
+        replace_batch(counts.withColumn("ran_at", F.current_timestamp()), batch_id, path)
 
     return each_batch(raw, action, checkpoint, processing_time)
