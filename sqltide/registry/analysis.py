@@ -99,7 +99,7 @@ _STUB_ITEMS = (
     "BEST_PRACTICE|LOW|Use specific column names instead of SELECT *;"
     "MONITORING|LOW|Set up query performance monitoring"
 )
-_MERGED_SQL = f"""
+MERGED_SQL = f"""
 SELECT f.slow_query_id,
   coalesce(nullif(r.problem, ''), f.problem) AS problem,
   coalesce(nullif(r.root_cause, ''), f.root_cause) AS root_cause,
@@ -131,7 +131,10 @@ def _pending_results(t: Tables) -> DataFrame:
 def _answered_results(t: Tables) -> DataFrame:
     """Pending queries analysed with the model's replies."""
     parsed = replies.parse_ai_replies(t.replies())
-    results = analysis.analyze_pending(t.queries(), analyses(t), AS_OF, replies=parsed)
+    return answered_columns(analysis.analyze_pending(t.queries(), analyses(t), AS_OF, replies=parsed))
+
+
+def answered_columns(results: DataFrame) -> DataFrame:
     return results.select(
         "slow_query_id", "problem", "root_cause", items_text().alias("suggestions"), "improvement_level",
         "estimated_speedup", F.col("confidence_score").cast("double").alias("confidence"),
@@ -154,7 +157,42 @@ SELECT p.id AS slow_query_id, source_db_type,
   json_extract_string(n.value, '$.using_filesort') AS sorts
 FROM nested_plans p, json_tree(p.plan_json) n WHERE n.type = 'OBJECT'"""
 
+
+def _nested(t: Tables) -> DataFrame:
+    """Findings of queries whose plans hold joins, sorts and nested loops."""
+    count = F.lit(None).cast("bigint")
+    q = t.nested_plans().withColumns(
+        {"rows_examined": count, "rows_returned": count, "duration_ms": F.lit(None).cast("decimal(18,3)"),
+         "full_sql": F.lit("SELECT 1")}
+    )
+    return _finding_columns(rules.dispatch_rules(q).withColumnRenamed("id", "slow_query_id"))
+
+
+# A full scan counts from 100,001 rows on; MySQL's root rule tells of the file sort.
+_NESTED_SQL = """
+SELECT concat('p-', o_orderkey) AS slow_query_id,
+  CASE WHEN big THEN 'Full table scan inside a join' ELSE 'Slow query detected' END AS problem,
+  CASE WHEN big THEN concat('The plan reads all of ', scanned, ' (', format('{:,}', n), ' rows, ', kind, ') below its root.')
+    ELSE 'Query execution time exceeds threshold' END AS root_cause,
+  array_to_string(list_filter([
+    'REVIEW|MEDIUM|Review query and add appropriate indexes|-- Analyze query patterns and optimize|Varies',
+    CASE WHEN mysql THEN 'INDEX|MEDIUM|Add index to avoid filesort operation|-- Add index on ORDER BY columns|2-5x improvement' END,
+    CASE WHEN big THEN concat('INDEX|HIGH|Add index to ', scanned, ' on the columns of its filter|-- CREATE INDEX ON ', scanned,
+      ' (filter columns)|10-100x improvement') END,
+    CASE WHEN big THEN 'INDEX|HIGH|Add indexes on the join columns of the nested loop|' ||
+      '-- Add index on the inner table''s join column|5-50x improvement' END,
+    CASE WHEN NOT mysql THEN 'INDEX|MEDIUM|Add index on the sort columns to avoid a sort or temporary table|' ||
+      '-- Add index on ORDER BY or GROUP BY columns|2-5x improvement' END
+  ], lambda s: s IS NOT NULL), ';') AS suggestions,
+  CASE WHEN big THEN 'HIGH' ELSE 'MEDIUM' END AS improvement_level,
+  CASE WHEN big THEN '10-100x' ELSE '2-5x' END AS estimated_speedup,
+  CAST(CASE WHEN big THEN 0.85 ELSE 0.7 END AS double) AS confidence
+FROM (SELECT o_orderkey, o_custkey * 977 AS n, o_custkey * 977 > 100000 AS big, o_orderstatus = 'F' AS mysql,
+    CASE o_orderstatus WHEN 'F' THEN 'o' ELSE 'orders' END AS scanned,
+    CASE o_orderstatus WHEN 'F' THEN 'ALL' ELSE 'Seq Scan' END AS kind FROM orders) x"""
+
 ENTRIES: dict[str, Entry] = {
+    "dispatch_nested_plans": Entry(_nested, _NESTED_SQL.strip()),
     "default_analysis": Entry(
         _defaults,
         sql(
@@ -180,7 +218,7 @@ ENTRIES: dict[str, Entry] = {
         ),
     ),
     "parse_ai_replies": Entry(_parsed, sql(_PARSED_SQL, "replies")),
-    "merge_ai": Entry(_merged, sql(_MERGED_SQL, "findings", "replies")),
+    "merge_ai": Entry(_merged, sql(MERGED_SQL, "findings", "replies")),
     "analyze_pending": Entry(
         _pending_results,
         sql(
@@ -194,7 +232,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "analyze_pending_with_replies": Entry(
         _answered_results,
-        sql(f"{_MERGED_SQL} AND status = 'NEW'", "findings", "replies"),
+        sql(f"{MERGED_SQL} AND status = 'NEW'", "findings", "replies"),
     ),
     "apply_status": Entry(
         _statuses,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sqltide.fixtures import AS_OF, Tables
 from sqltide.functions.measures import at
 from sqltide.operators import dedup, filters
-from sqltide.operators.knowledge import training_rows
+from sqltide.operators.knowledge import export_training_dataset, read_training_dataset
 from sqltide.registry.base import Entry, analyses
 from sqltide.registry.oracle import normalized, sql
 from sqltide.registry.texts import anonymous_sql
@@ -80,17 +80,17 @@ def _written(t: Tables) -> DataFrame:
 
 
 def _exported(t: Tables) -> DataFrame:
-    rows = training_rows(t.cases())
-    return rows.select(
-        F.col("input.db_type").alias("db_type"),
-        F.col("input.fingerprint").alias("fingerprint"),
-        F.col("output.suggestion").alias("suggestion"),
-        F.round("output.gain_ratio", 6).alias("gain_ratio"),
-    )
+    """The export, written as JSON lines and read back."""
+    path = scratch(t, "training")
+    export_training_dataset(t.cases(), path)
+    rows = read_training_dataset(t.spark, path)
+    return rows.select("input.*", "output.suggestion", F.round("output.gain_ratio", 6).alias("gain_ratio"))
 
 
+# The plan's one table is no table of the statement: every name in it is its own.
 _EXPORT = f"""
-SELECT db_type, anonymous AS fingerprint, 'fix ' || c.id AS suggestion, round(gain_ratio, 6) AS gain_ratio
+SELECT db_type, anonymous AS fingerprint, replace(plan_json, '"brand"', '"name_1"') AS plan_json,
+  CAST(NULL AS varchar) AS schema_context, 'fix ' || c.id AS suggestion, round(gain_ratio, 6) AS gain_ratio
 FROM cases c JOIN ({anonymous_sql('fingerprint', 'cases', 'id')}) f ON f.id = c.id
 WHERE effectiveness = 'CONFIRMED' AND gain_ratio >= 0.3"""
 

@@ -143,7 +143,8 @@ SELECT id, execution_id, captured_at, duration_ms FROM (
   SELECT a.id, p.id AS execution_id, p.captured_at, p.duration_ms,
     row_number() OVER (PARTITION BY a.id ORDER BY p.captured_at DESC, p.id DESC) AS nth
   FROM a JOIN q o ON o.id = a.slow_query_id
-  JOIN q p ON p.fingerprint = o.fingerprint AND p.captured_at > o.captured_at + INTERVAL 10 MINUTE) x
+  JOIN q p ON p.fingerprint = o.fingerprint AND p.captured_at > o.captured_at + INTERVAL 10 MINUTE
+    AND p.duration_ms IS NOT NULL) x
 WHERE nth <= 5"""
 
 _FEEDBACK = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.fixtures import AS_OF, Tables
@@ -55,23 +55,27 @@ GROUP BY q.id"""
 
 
 def _global(t: Tables) -> DataFrame:
-    """The nested row, each part as text."""
+    """The nested row, each part as text with all its fields."""
     row = stats.global_stats(t.queries(), analyses(t), AS_OF)
+
+    def text(name: str, *fields: str) -> Column:
+        said = lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])
+        return F.array_join(F.transform(name, said), ";").alias(name)
+
+    def whole(name: str) -> Column:
+        # Durations in whole microseconds, which both engines print alike.
+        return F.transform(name, lambda x: x.withField("avg", F.round(x["avg_duration_ms"] * 1e3).cast("bigint")))
+
+    row = row.withColumns({c: whole(c) for c in ("top_tables", "recent_trend")})
+    row = row.withColumn(
+        "recent_trend",
+        F.transform("recent_trend", lambda x: x.withField("most", F.round(x["max_duration_ms"] * 1e3).cast("bigint"))),
+    )
     return row.select(
         "total_slow_queries", "total_analyzed", "total_pending", "databases_monitored",
-        F.array_join(
-            F.transform("top_tables", lambda x: F.concat_ws(
-                "|", x["source_db_type"], x["source_db_host"], x["table_name"],
-                x["query_count"].cast("string"),
-            )), ";").alias("top_tables"),
-        F.array_join(
-            F.transform("improvement_summary", lambda x: F.concat_ws(
-                "|", x["improvement_level"], x["count"].cast("string"))), ";",
-        ).alias("improvement_summary"),
-        F.array_join(
-            F.transform("recent_trend", lambda x: F.concat_ws(
-                "|", x["date"].cast("string"), x["query_count"].cast("string"))), ";",
-        ).alias("recent_trend"),
+        text("top_tables", "source_db_type", "source_db_host", "table_name", "query_count", "avg", "distinct_queries"),
+        text("improvement_summary", "improvement_level", "count"),
+        text("recent_trend", "date", "query_count", "avg", "most"),
     )
 
 
@@ -80,13 +84,15 @@ SELECT (SELECT count(*) FROM q) AS total_slow_queries,
   (SELECT count(*) FROM q WHERE status = 'ANALYZED') AS total_analyzed,
   (SELECT count(*) FROM q WHERE status = 'NEW') AS total_pending,
   (SELECT count(DISTINCT source_db_host) FROM q) AS databases_monitored,
-  (SELECT string_agg(source_db_type || '|' || source_db_host || '|' || table_name || '|' || query_count, ';'
+  (SELECT string_agg(concat_ws('|', source_db_type, source_db_host, table_name, query_count,
+       CAST(round(avg_duration_ms * 1000) AS bigint), distinct_queries), ';'
      ORDER BY query_count DESC, source_db_type, source_db_host, table_name)
    FROM (SELECT * FROM impactful ORDER BY query_count DESC, source_db_type, source_db_host, table_name LIMIT 5) i) AS top_tables,
   (SELECT string_agg(improvement_level || '|' || n, ';' ORDER BY improvement_level)
    FROM (SELECT improvement_level, count(*) AS n FROM a GROUP BY improvement_level) l) AS improvement_summary,
-  (SELECT string_agg(CAST(d AS varchar) || '|' || n, ';' ORDER BY d) FROM (
-     SELECT CAST(captured_at AS date) AS d, count(*) AS n FROM q
+  (SELECT string_agg(concat_ws('|', d, n, CAST(round(mean * 1000) AS bigint), CAST(most * 1000 AS bigint)), ';' ORDER BY d) FROM (
+     SELECT CAST(captured_at AS date) AS d, count(*) AS n, CAST(sum(duration_ms) AS double) / count(*) AS mean,
+       max(duration_ms) AS most FROM q
      WHERE captured_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1) t) AS recent_trend"""
 
 
