@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.fixtures import AS_OF, Tables
-from sqltide.operators import joins, learning, ranking, stats
+from sqltide.operators import daily, joins, learning, ranking, stats
 from sqltide.registry.base import Entry, analyses, evaluated, feedback, rounded
 from sqltide.registry.oracle import SUMMARY_COLUMNS, sql
+from sqltide.sources import store
 from sqltide.sources.store import latest_db_metadata
 
 _PATTERN = "fingerprint, source_db_type, source_db_host"
@@ -96,6 +97,27 @@ SELECT (SELECT count(*) FROM q) AS total_slow_queries,
      WHERE captured_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1) t) AS recent_trend"""
 
 
+def _days(t: Tables) -> DataFrame:
+    """Three batches, the second of them twice, kept by day."""
+    path = store.new_folder(t.spark, "days")
+    q = t.queries()
+    for batch in (0, 1, 1, 2):
+        daily.add_days(q.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch), batch, path)
+    return daily.read_days(t.spark, path)
+
+
+def _summary_of_days(t: Tables) -> DataFrame:
+    """The sketch's percentile is compared by its rank among the pattern's durations."""
+    found = store.durable(daily.summary_of_days(_days(t)))
+    bound = found.select(*joins.PATTERN, "p95_duration_ms")
+    ranks = t.queries().select(*joins.PATTERN, "duration_ms").join(bound, list(joins.PATTERN)).groupBy(*joins.PATTERN).agg(
+        F.count("duration_ms").alias("known"), F.count_if(F.col("duration_ms") <= F.col("p95_duration_ms")).alias("below")
+    )
+    off = F.abs(F.col("below") / F.col("known") - 0.95)
+    close = ranks.select(*joins.PATTERN, (off <= daily.RANK_ERROR + 1 / F.col("known")).alias("p95_is_close"))
+    return rounded(found.join(close, list(joins.PATTERN)).drop("p95_duration_ms"), "avg_duration_ms")
+
+
 def _timeline(t: Tables) -> DataFrame:
     return rounded(ranking.pattern_timeline(t.queries(), feedback(t)), "duration_ms", "change_ms", "gain_ratio")
 
@@ -162,6 +184,21 @@ ENTRIES: dict[str, Entry] = {
             "q", "a",
         ),
     ),
+    "summary_of_days": Entry(
+        _summary_of_days,
+        sql(
+            f"SELECT {_PATTERN}, id, execution_count, round(avg_duration_ms, 6) AS avg_duration_ms, min_duration_ms, "
+            "max_duration_ms, total_duration_ms, last_seen, true AS p95_is_close FROM summary", "summary",
+        ),
+    ),
+    "trend_of_days": Entry(
+        lambda t: rounded(daily.trend_of_days(_days(t)), "avg_duration_ms"),
+        sql(
+            "SELECT CAST(captured_at AS date) AS date, count(*) AS query_count, "
+            "round(CAST(sum(duration_ms) AS double) / count(*), 6) AS avg_duration_ms, "
+            "CAST(max(duration_ms) AS double) AS max_duration_ms FROM q GROUP BY 1", "q",
+        ),
+    ),
     "global_totals": Entry(
         lambda t: stats.global_totals(t.queries()),
         sql(

@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sqltide.fixtures import Tables
-from sqltide.functions import measures, text
+from sqltide.functions import measures, predicates, text
 from sqltide.functions.plan_json import plan_features
 from sqltide.registry.base import Entry, analyses
 from sqltide.registry.oracle import level_rank, normalized, sql, tables_of
 from sqltide.sources.ingest import with_fingerprint
+from sqltide.sources.store import latest_db_metadata
 
 
 
@@ -86,7 +87,13 @@ def _previews(t: Tables):
     )
 
 
-KEYWORDS = ", ".join(f"'{word}'" for word in text.SQL_KEYWORDS)
+# The keywords of the derived queries and cases, written out here.
+KEYWORDS = ", ".join(
+    f"'{word}'"
+    for word in (
+        "select", "from", "join", "on", "where", "and", "limit", "like", "insert", "into", "values", "update", "set", "in",
+    )
+)
 
 
 def anonymous_sql(column: str, relation: str, key: str) -> str:
@@ -121,34 +128,66 @@ FROM (
         FROM (SELECT {key}, {literal} AS bare FROM {relation}) b) f) w) r) c"""
 
 
-_FLAG_CHECKS = (
-    ("LEADING_WILDCARD", r"regexp_matches(lower(bare), '\blike ''%')"),
-    ("NO_WHERE", r"regexp_matches(txt, '^select\b.*\bfrom\b') AND NOT regexp_matches(txt, '\bwhere\b')"),
-    ("OR_CONDITION", r"regexp_matches(txt, '\bwhere\b.*\bor\b')"),
-    ("NOT_IN", r"regexp_matches(txt, '\bnot in ?\(')"),
-    ("SELECT_STAR", r"regexp_matches(txt, '\bselect (?:distinct )?\*')"),
+# What each of the derived statements' shapes becomes, by hand: without names and literals, its
+# antipatterns, and those of its predicates.
+_SHAPES = (
+    ("SELECT * FROM table_1 WHERE col_1 = ?", "SELECT_STAR", ""),
+    ("select col_1 from table_1 where col_2=-? and col_3? > ? ;;", "", "MATH_ON_COLUMN"),
     (
-        "FUNCTION_ON_COLUMN",
-        r"regexp_matches(txt, '\bwhere\b.*\b(?:" + "|".join(text.COLUMN_FUNCTIONS) + r") ?\( ?[a-z_]')",
+        "SELECT DISTINCT col_1.col_2 FROM table_1 col_1, col_3 col_4 WHERE YEAR(col_4.col_5) = ? OR col_1.col_2 = ?",
+        "OR_CONDITION,FUNCTION_ON_COLUMN,DISTINCT,COMMA_JOIN", "JOIN_WITHOUT_CONDITION",
     ),
-    ("IN_SUBQUERY", r"regexp_matches(txt, '\bin ?\( ?select\b')"),
-    ("HAVING", r"regexp_matches(txt, '\bhaving\b')"),
-    ("DISTINCT", r"regexp_matches(txt, '\bselect distinct\b')"),
     (
-        "COMMA_JOIN",
-        r"regexp_matches(txt, '\bfrom [a-z_][a-z0-9_.]*(?: (?:as )?[a-z_][a-z0-9_]*)? ?, ?[a-z_]')",
+        "SELECT col_1 FROM table_1 WHERE col_1 NOT IN (SELECT col_2 FROM table_2 WHERE col_3 > ?)",
+        "NOT_IN,IN_SUBQUERY", "",
     ),
-)
-_FLAGS_SQL = (
-    "SELECT stmt_id, array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN {check} THEN '{code}' END" for code, check in _FLAG_CHECKS)
-    + r"""], lambda x: x IS NOT NULL), ',') AS flags
-FROM (SELECT stmt_id, bare, lower(regexp_replace(bare, '''(?:[^''\\]|\\.)*''', '?', 'g')) AS txt FROM (
-  SELECT stmt_id, CASE WHEN one LIKE '-- %' THEN '' ELSE one END AS bare FROM (
-    SELECT stmt_id, trim(regexp_replace(sql_text, '\s+', ' ', 'g')) AS one FROM statements) o) b) s"""
+    (
+        "SELECT col_1, COUNT(*) FROM table_1 GROUP BY col_1 HAVING COUNT(*) > ? LIMIT ? OFFSET ?",
+        "NO_WHERE,HAVING", "",
+    ),
+    ("INSERT INTO table_1 (col_1, col_2) VALUES (?, ??, ?)", "", ""),
+    ("DELETE FROM table_1 WHERE col_1 IN (?, ? , ?);", "", ""),
+    (
+        "-- col_1 SELECT count(*) FROM table_1 col_2 LEFT JOIN table_2 col_3 ON col_2.col_4 = col_3.col_5", "", "",
+    ),
+    (
+        "UPDATE table_1 SET col_1 = ? WHERE UPPER(col_1) LIKE ? or col_2 = ?5col_3",
+        "LEADING_WILDCARD,OR_CONDITION,FUNCTION_ON_COLUMN", "",
+    ),
+    (
+        "SELECT table_1.col_1, EXTRACT(YEAR FROM table_1.col_2) FROM table_2.col_3 table_1 "
+        "JOIN table_3 col_4 ON col_4.col_5 = table_1.col_1 JOIN table_4 col_6 ON col_6.col_1 = table_1.col_7 "
+        "WHERE table_1.col_2 > ? AND table_1.col_8 = ???",
+        "", "",
+    ),
+    ("CREATE TABLE table_1 (col_1 int)", "", ""),
+    ("ALTER TABLE table_1 ADD col_1 int;", "", ""),
 )
 
 
+def _by_shape(column: int, name: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{shape[column]}'" for i, shape in enumerate(_SHAPES))
+    return f"SELECT o_orderkey AS stmt_id, CASE o_orderkey % {len(_SHAPES)} {cases} END AS {name} FROM orders"
+
+
+def _columns(t: Tables):
+    """Columns of every database: ids of users are numbers, those that orders hold are texts."""
+    kinds = {
+        "users": {"id": "bigint", "name": "varchar(80)", "email": "varchar(80)", "country": "char(2)"},
+        "orders": {"id": "bigint", "user_id": "varchar(20)", "product": "text", "price": "varchar(20)", "status": "text"},
+    }
+    rows = [(table, column, kind) for table, own in kinds.items() for column, kind in own.items()]
+    named = t.spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+    held = latest_db_metadata(t.metadata()).select("source_db_type", "source_db_host", "source_db_name", "table_name")
+    return held.join(named, "table_name")
+
+
+def _type_flags(t: Tables):
+    found = predicates.type_flags(t.queries(), _columns(t))
+    return found.select("id", F.array_join("flags", ",").alias("flags"))
+
+
+
 def _features(t: Tables):
     plan = plan_features(F.col("plan_json"), F.col("source_db_type"))
     return t.queries().select("id", plan.alias("p")).select(
@@ -266,7 +305,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "anonymize_sql": Entry(
         _over_statements("anonymous", text.anonymize_sql),
-        sql(anonymous_sql("sql_text", "statements", "stmt_id"), "statements")
+        _by_shape(0, "anonymous")
     ),
     "make_fingerprint": Entry(
         _over_statements("pattern", text.make_fingerprint),
@@ -280,7 +319,18 @@ ENTRIES: dict[str, Entry] = {
     ),
     "antipattern_flags": Entry(
         _over_statements("flags", lambda c: F.array_join(text.antipattern_flags(c), ",")),
-        sql(_FLAGS_SQL, "statements"),
+        _by_shape(1, "flags"),
+    ),
+    "predicate_flags": Entry(
+        _over_statements("flags", lambda c: F.array_join(predicates.predicate_flags(c), ",")),
+        _by_shape(2, "flags"),
+    ),
+    "type_flags": Entry(
+        _type_flags,
+        sql(
+            "SELECT id, CASE WHEN contains(full_sql, 'JOIN') THEN 'TYPE_JOIN_MISMATCH,TYPE_TEXT_NUMBER' "
+            "WHEN contains(full_sql, 'FROM orders') THEN 'TYPE_TEXT_NUMBER' ELSE '' END AS flags FROM q", "q",
+        ),
     ),
     "plan_features": Entry(_features, sql(_FEATURES_SQL, "q")),
     "gain_ratio": Entry(
