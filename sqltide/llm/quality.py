@@ -156,18 +156,23 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Forest:
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = SAMPLE) -> Forest:
     """Learns from at most ``limit`` labelled documents outside the held-out fold.
 
-    The statistics are taken where the texts are; the driver gets numbers of the sample only.
+    The statistics are taken where the texts are; the driver gets numbers of the
+    sample only, one row for each label that was chosen: of documents that
+    repeat an id the one with the least statistics.
     """
-    chosen = training_labels(labels, column, limit)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    chosen = training_labels(labels, column, limit).distinct()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column(0)):
                 found = pa.array(list(statistics(texts)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(start, len(texts))], ["row", "label"])
+                own = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([found, own.column(1), own.column(2)], ["row", "doc_id", "label"])
 
-    got = rows.mapInArrow(run, "row array<double>, label int").collect()
+    each = rows.mapInArrow(run, f"row array<double>, doc_id {kind}, label int")
+    got = each.groupBy("doc_id", "label").agg(F.min("row").alias("row")).select("row", "label").collect()
     # Rows arrive in any order; sums of floats depend on it.
     got = sorted((tuple(r), y) for r, y in got)
     table = np.array([r for r, _ in got]).reshape(len(got), len(NAMES))

@@ -175,8 +175,8 @@ def document_counts(texts: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def telling_among(texts: DataFrame) -> np.ndarray:
-    """``telling`` features of labelled texts; every feature is counted and judged on the executors."""
+def telling_among(texts: DataFrame, most: int = FEATURES) -> np.ndarray:
+    """The ``most`` ``telling`` features of labelled texts; every feature is counted and judged on the executors."""
     counts = dict(texts.groupBy("label").count().collect())
     toxic = document_counts(texts.where("label = 1")).where(F.col("n") >= LEAST)
     other = document_counts(texts.where("label = 0")).withColumnRenamed("n", "m")
@@ -187,7 +187,7 @@ def telling_among(texts: DataFrame) -> np.ndarray:
         judged.where(F.col("share") >= LIFT * F.col("elsewhere"))
         # Ties by the hash as an unsigned number, as in ``telling``.
         .orderBy(F.col("elsewhere") - F.col("share"), F.col("feature") < 0, "feature")
-        .limit(FEATURES)
+        .limit(most)
         .toPandas()
     )
     return np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -216,12 +216,14 @@ def known_features(texts: DataFrame, known: np.ndarray) -> list[tuple[int, np.nd
     return sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
 
 
-def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE) -> Model:
+def train(
+    documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE, most: int = FEATURES
+) -> Model:
     """Learns from at most ``limit`` toxic and ``limit`` unlabelled texts outside the held-out fold.
 
     The unlabelled texts are a sample of all documents.  The prior is the share
     of toxic labels there, of ``documents`` only.  Features are taken, counted and judged where the
-    texts are; the driver gets at most ``FEATURES`` and, of the sample, their values.
+    texts are; the driver gets the ``most`` telling ones and, of the sample, their values.
     """
     own = labels.join(documents.select("doc_id"), "doc_id", "left_semi").select("doc_id", column)
     rows = own.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
@@ -230,10 +232,11 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
     others = sample(
         documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), limit
     ).withColumn("label", F.lit(0))
-    # At most two times the limit.
-    chosen = F.broadcast(toxic.union(others))
-    texts = stored(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "label"), "toxicity-sample")
-    known = telling_among(texts)
+    # At most two times the limit, and so are the texts: of documents that repeat an id the least text counts.
+    chosen = F.broadcast(toxic.union(others).distinct())
+    picked = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label")
+    texts = stored(picked.agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label"), "toxicity-sample")
+    known = telling_among(texts, most)
     if not len(known):
         return fit([], [], prior)
     found = known_features(texts, known)

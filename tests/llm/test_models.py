@@ -176,3 +176,25 @@ def test_odd_tables(spark, scored):
     assert scored(docs, labels).collect() == rows
     assert scored(docs.limit(0), labels.limit(0)).collect() == []
     assert all(0 <= r.score <= 1 for r in scored(docs, labels.limit(0)).collect())
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id on many rows is one document of the sample, for both classifiers."""
+    rows = [(7, f"good text number {i} of many words") for i in range(300)] + [(8, "bad text"), (None, "no id")]
+    df = documents(spark, rows).repartition(3)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda table, y: seen.append(len(table)) or plain(table, y))
+    quality.train(df, labels, limit=2)
+    plain_known = toxicity.known_features
+    monkeypatch.setattr(toxicity, "telling_among", lambda texts, most: np.array([1], dtype=np.uint64))
+
+    def counted(texts, known):
+        found = plain_known(texts, known)
+        seen.append(len(found))
+        return found
+
+    monkeypatch.setattr(toxicity, "known_features", counted)
+    toxicity.train(df, labels, limit=2)
+    assert seen[0] <= 2 and seen[1] <= 4
