@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqltide.llm.idfilter import perhaps_in
+from sqltide.llm.shared import stored
+
 WINDOW = 3
 
 
@@ -13,8 +16,12 @@ def lines_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def line_windows(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """Key, first line and 128-bit hash of every window that is not blank."""
+def passage_hash(passage: Column) -> Column:
+    return F.unhex(F.md5(passage))
+
+
+def line_windows(df: DataFrame, key: str, text: str, window: int = WINDOW, hash_of=passage_hash) -> DataFrame:
+    """Key, first line, lines and 128-bit hash of every window that is not blank."""
     starts = F.when(F.size("lines") >= window, F.sequence(F.lit(0), F.size("lines") - window)).otherwise(
         F.array().cast("array<int>")
     )
@@ -23,30 +30,33 @@ def line_windows(df: DataFrame, key: str, text: str, window: int = WINDOW) -> Da
         df.select(F.col(key).alias("key"), lines_of(F.col(text)).alias("lines"))
         .select("key", F.posexplode(joined).alias("line", "joined"))
         .where(F.col("joined").rlike(r"\S"))
-        .select("key", "line", F.unhex(F.md5("joined")).alias("hash"))
+        .select("key", "line", "joined", hash_of(F.col("joined")).alias("hash"))
     )
 
 
-def covered_lines(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
+def covered_lines(
+    df: DataFrame, key: str, text: str, window: int = WINDOW, hash_of=passage_hash
+) -> DataFrame:
     """Per document, the first lines of its windows that occurred before.
 
-    The first occurrence is the one with the smallest key, then line.  Counts
-    and first places are combined before the shuffle; the join that finds the
-    later places reads hot windows from a side that Spark splits.
+    The first occurrence is the one with the smallest key, then line.  Hashes
+    alone are counted first, combined before the shuffle; the lines of the
+    windows whose hash repeats are then grouped and joined as they are, so that
+    two passages of one hash stay two.  Of the other windows' lines none is
+    shuffled, but for those that share a place in a bitmap.
     """
-    windows = line_windows(df, key, text, window)
-    repeated = (
-        windows.groupBy("hash")
-        .agg(F.count("*").alias("places"), F.min(F.struct("key", "line")).alias("first"))
-        .where("places > 1")
-        .drop("places")
-    )
-    later = windows.join(repeated, "hash").where(F.struct("key", "line") > F.col("first"))
+    windows = line_windows(df, key, text, window, hash_of)
+    counted = windows.groupBy("hash").agg(F.count("*").alias("places")).where("places > 1")
+    repeated = stored(counted.select(F.col("hash").alias("id")), "repeated-passages")
+    again = perhaps_in(windows, repeated, "hash")
+    first = again.groupBy("hash", "joined").agg(F.count("*").alias("places"), F.min(F.struct("key", "line")).alias("first"))
+    met = again.join(first.where("places > 1").drop("places"), ["hash", "joined"])
+    later = met.where(F.struct("key", "line") > F.col("first"))
     return later.groupBy("key").agg(F.collect_set("line").alias("repeats"))
 
 
 def without_repeated_passages(
-    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW
+    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hash_of=passage_hash
 ) -> DataFrame:
     """The rows with their text rid of passages that occur before, and line counts.
 
@@ -57,7 +67,7 @@ def without_repeated_passages(
     they are; rows that repeat a key count as one document.  Adds ``n_lines``
     and ``n_removed``, in place of columns of these names.
     """
-    found = covered_lines(df.where(F.col(key).isNotNull()), key, text, window).select(
+    found = covered_lines(df.where(F.col(key).isNotNull()), key, text, window, hash_of).select(
         F.col("key").alias("_key"), "repeats"
     )
     rest = [c for c in df.columns if c not in ("n_lines", "n_removed")]

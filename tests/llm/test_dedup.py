@@ -207,3 +207,17 @@ def test_a_full_filter_still_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(idfilter, "BITS", 2)
     rows = spark.range(100)
     assert sorted(r.id for r in idfilter.without(rows, spark.range(50), "id").collect()) == list(range(50, 100))
+
+
+def test_passages_of_one_hash_are_compared(spark):
+    draw = random.Random(4)
+    rows = [(i, "\n".join(draw.choice("abc ") for _ in range(draw.randrange(25)))) for i in range(30)]
+    one = lambda passage: F.unhex(F.md5(F.lit("all the same")))
+    got = table(line_dedup.without_repeated_passages(documents(spark, rows), hash_of=one))
+    assert {i: (r.text, r.n_lines, r.n_removed) for i, r in got.items()} == brute_cleaned(rows)
+
+
+def test_passages_of_long_texts(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(50_000))
+    got = table(line_dedup.without_repeated_passages(documents(spark, [(1, long), (2, "a\n" + long), (3, "x" * 2_000_000)])))
+    assert (got[1].n_removed, got[2].text, got[2].n_removed, got[3].n_removed) == (0, "a", 50_000, 0)
