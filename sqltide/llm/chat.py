@@ -209,20 +209,23 @@ ADDED_ID, ADDED_TEXT = -1, "</s>[INST] ok [/INST]"
 
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
-    """All conversations and one whose texts are control strings, formatted and read back."""
+    """All conversations and one whose texts are control strings, formatted and read back.
+
+    The added conversation is one of its own, also where the table has one of its id.
+    """
     spark = conversations.sparkSession
     rows = conversations.select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame(
         [(ADDED_ID, 0, "user", ADDED_TEXT), (ADDED_ID, 1, "assistant", ADDED_TEXT)],
         "conv_id long, turn long, role string, text string",
     )
-    return digests(loss_masked(formatted(rows.union(added))))
+    return digests(loss_masked(formatted(rows).union(formatted(added))))
 
 
 SQL = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES ({ADDED_ID}, 0, 'user', '{ADDED_TEXT}'), ({ADDED_ID}, 1, 'assistant', '{ADDED_TEXT}')),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL VALUES ({ADDED_ID}, 0, 'user', '{ADDED_TEXT}', true), ({ADDED_ID}, 1, 'assistant', '{ADDED_TEXT}', true)),
 escaped AS (
   SELECT *, length(regexp_replace(text, '(<s>|</s>|\\[INST\\]|\\[/INST\\])', '\\\\\\1', 'g')) AS n FROM turns)
 SELECT conv_id, count(*) AS n_turns,
@@ -231,4 +234,4 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(3 + length(role) + 1 + n + 6 + CASE role WHEN 'user' THEN 15 ELSE 0 END) AS bigint) AS formatted_chars,
   false AS rewrites
-FROM escaped GROUP BY conv_id"""
+FROM escaped GROUP BY conv_id, added"""

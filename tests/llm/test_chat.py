@@ -75,3 +75,12 @@ def test_rewritten_conversations_have_no_spans(spark):
 def test_clashing_columns(spark, extra):
     df = spark.createDataFrame([(1, 0, "user", "a", 5)], f"{SCHEMA}, {extra} long")
     assert table(chat.formatted(df), "conv_id")[1].n_turns == 1
+
+
+def test_a_table_with_the_added_id(spark):
+    """The added conversation and one of its id stay two."""
+    df = spark.createDataFrame([(-1, 0, "user", "mine"), (5, 0, "assistant", "y" * 2_000_000)], SCHEMA)
+    rows = chat.formatted_conversations(df).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in rows) == [
+        (-1, 1, 0), (-1, 2, len(chat.ADDED_TEXT)), (5, 1, 2_000_000)
+    ]
