@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -46,3 +49,22 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("gone", ["sqltide.llm", "corpus_pipeline", "public_tokenizers", "pandas"])
+def test_entry_goes_without_the_text_operators(gone):
+    """The other queries are there when the text operators, or what only they need, are not."""
+    code = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        f"        if name == {gone!r} or name.startswith({gone + '.'!r}):\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as entry\n"
+        "names = entry.queries()\n"
+        "assert 'pattern_summary' in names and 'op1_token_counts' not in names and 'pipeline' not in names\n"
+    )
+    root = os.path.dirname(os.path.abspath(registered.__file__))
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
