@@ -195,10 +195,14 @@ def type_flags(q: DataFrame, columns: DataFrame) -> DataFrame:
     quoted text.  TYPE_LIKE_ON_NUMBER: LIKE on a number column.  Columns that are
     unknown, or that several tables of the statement have, give none.
     """
-    wide = q.select("id", *SOURCE, scanned(decode_hex_sql(F.col("full_sql"))).alias("words"))
-    wide = wide.withColumn("tables", F.when(F.size("words") > 0, table_names(F.col("words"))))
-    used = wide.where(F.size("tables") > 0).select(
-        "id", *SOURCE, "tables", F.posexplode(comparisons(F.col("words"))).alias("no", "c")
+    # Bound in one expression: each statement is scanned once, whatever reads the result.
+    some = lambda words, value: F.when(F.size(words) > 0, value)
+    looked = let(
+        scanned(decode_hex_sql(F.col("full_sql"))),
+        lambda w: F.struct(some(w, table_names(w)).alias("tables"), some(w, comparisons(w)).alias("compared")),
+    )
+    used = q.select("id", *SOURCE, looked.alias("looked")).select(
+        "id", *SOURCE, F.col("looked.tables").alias("tables"), F.posexplode("looked.compared").alias("no", "c")
     )
     side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"c.{name}").alias("token"))
     sides = used.select("id", *SOURCE, "tables", "no", "c", F.explode(F.array(side("left"), side("right"))).alias("s"))
