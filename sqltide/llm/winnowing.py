@@ -2,14 +2,17 @@
 
 The units are words, in lower case.  In a run of more than sixteen characters
 without white space every character is a unit, so that texts without spaces
-share hashes wherever a common passage begins in them.  The hash of k units is the polynomial that a rolling hash gives; all of them come
-from log2(k) doubling steps (the hash of 2m words from two of m words), and
-window minima likewise, so the work is linear in the text.
+share hashes wherever a common passage begins in them.  The hash of k units is
+the polynomial that a rolling hash gives; all of them come from log2(k)
+doubling steps (the hash of 2m words from two of m words), and window minima
+likewise, so the work is linear in the text.  A text is worked through in
+overlapping pieces, so a long one needs no more memory than its own size and
+that of its fingerprint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +25,65 @@ BASE = 1_000_003
 WORD = r"\S{1,16}"  # a longer run is cut every sixteen characters from its start
 UNIT = r"(?<!\S)\S{1,16}(?!\S)|\S"  # a longer run is cut into characters
 HIGH = 1 << 32
+PIECE = 4096  # units of a text that are worked through at a time
 
 
-def _doubled(values: str, by: int, combined: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _doubled(values: Column, by: int, combined: Callable[[Column, Column], Column]) -> Column:
     """Element i joined with element i + ``by``, for every i that has one."""
-    return F.expr(f"transform(slice({values}, 1, greatest(size({values}) - {by}, 0)), (x, i) -> {combined})")
+    return _let(
+        values,
+        lambda v: F.transform(
+            F.slice(v, 1, F.greatest(F.size(v) - by, F.lit(0))), lambda x, i: combined(x, F.get(v, i + by))
+        ),
+    )
+
 
+def _filled(values: Column, least: int, value: int, where: Column) -> Column:
+    """Fewer than ``least`` values, but not none, are followed by ``value`` up to that number."""
+    return _let(
+        values,
+        lambda v: F.when(
+            where & F.size(v).between(1, least - 1),
+            F.concat(v, F.array_repeat(F.lit(value).cast("long"), F.lit(least) - F.size(v))),
+        ).otherwise(v),
+    )
+
+
+def _selected(piece: Column, number: Column, k: int, window: int, units: int) -> Column:
+    """The hashes that the windows of one piece select; but for the first piece, its first window is the one before."""
+    first = number == 0
+    own = F.transform(F.split(F.rtrim(piece), " "), lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
+    # Shorter texts are padded with zeros, after all units: their one hash.
+    own = _filled(own, k, 0, first)
+    m = 1
+    while m < k:
+        factor = pow(BASE, m, PRIME)
+        own = _doubled(own, m, lambda x, y, factor=factor: (x * F.lit(factor) + y) % F.lit(PRIME))
+        m *= 2
+    start = F.lit(HIGH - 1) - number.cast("long") * units + F.when(first, 0).otherwise(1)
+    ranked = _let(start, lambda at: F.transform(own, lambda x, i: x * F.lit(HIGH) + (at - i)))
+    # The last elements stand for hashes beyond the end: a short text is one window.
+    ranked = _filled(ranked, window, (1 << 63) - 1, first)
+    m = 1
+    while m < window:
+        ranked = _doubled(ranked, m, F.least)
+        m *= 2
+    return _let(
+        ranked,
+        lambda v: F.when(first, F.array_distinct(v)).otherwise(
+            F.filter(F.array_distinct(v), lambda x: x != F.get(v, F.lit(0)))
+        ),
+    )
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW, unit: str = WORD) -> DataFrame:
+
+def with_fingerprint(
+    df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW, unit: str = WORD, units: int = PIECE
+) -> DataFrame:
     """Adds ``name``: the selected hashes with their positions, in order of position.
 
     Each element is hash * 2**32 + (2**32 - 1 - position), so that the least
@@ -41,32 +95,26 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: in
     both texts, as any passage of 17 or more without white space is; with
     ``WORD`` a longer run must be shared at the same offset, modulo 16.
     Null and empty texts, and texts of white space, have an empty fingerprint.
+
+    A text is worked through in pieces of ``units`` units, which overlap by
+    what a window spans, so only one piece's units are held at a time beside
+    the text and its fingerprint; the result does not depend on the length.
     """
     if k & (k - 1) or window & (window - 1):
         raise ValueError("k and window must be powers of two")
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(unit), 0)
-    out = df.withColumn("_w", words).withColumn(
-        "_h", F.transform("_w", lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
-    )
-    # Shorter texts are padded with zeros, after all units: their one hash.
-    out = out.withColumn(
-        "_h",
-        F.when(F.size("_h").between(1, k - 1), F.concat("_h", F.array_repeat(F.lit(0).cast("long"), k - F.size("_h")))).otherwise(F.col("_h")),
-    )
-    m = 1
-    while m < k:
-        joined = f"(x * {pow(BASE, m, PRIME)} + _h[i + {m}]) % {PRIME}"
-        out = out.withColumn("_h", _doubled("_h", m, joined))
-        m *= 2
-    out = out.withColumn("_h", F.expr(f"transform(_h, (x, i) -> x * {HIGH} + ({HIGH - 1} - i))"))
-    # The last elements stand for hashes beyond the end: a short text is one window.
-    pad = F.array_repeat(F.lit((1 << 63) - 1), window - F.size("_h"))
-    out = out.withColumn("_h", F.when(F.size("_h").between(1, window - 1), F.concat("_h", pad)).otherwise(F.col("_h")))
-    m = 1
-    while m < window:
-        out = out.withColumn("_h", _doubled("_h", m, f"least(x, _h[i + {m}])"))
-        m *= 2
-    return out.withColumn(name, F.array_distinct("_h")).drop("_w", "_h")
+    if units < k + window:
+        raise ValueError("a piece must hold more units than a window spans")
+    # Every unit is followed by one blank.
+    stream = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"({unit})\s*", "$1 ")
+    out = df.withColumn("_p", F.regexp_extract_all(stream, F.lit(rf"(?:\S++ ){{1,{units}}}+"), F.lit(0)))
+
+    def with_edges(piece: Column, number: Column) -> Column:
+        before = F.concat(F.substring_index(F.rtrim(F.get("_p", number - 1)), " ", -1), F.lit(" "))
+        after = F.regexp_extract(F.get("_p", number + 1), rf"^(?:\S++ ){{0,{k + window - 2}}}+", 0)
+        return F.concat(F.coalesce(before, F.lit("")), piece, F.coalesce(after, F.lit("")))
+
+    selected = F.transform("_p", lambda p, j: _selected(with_edges(p, j), j, k, window, units))
+    return out.withColumn(name, F.flatten(selected)).drop("_p")
 
 
 def hashes(fingerprint: str) -> Column:
@@ -84,8 +132,10 @@ def positions(fingerprint: str) -> Column:
 
 def as_text(fingerprint: str) -> Column:
     """``hash@position``, hash in hexadecimal, separated by blanks."""
-    return F.array_join(
-        F.expr(f"transform({fingerprint}, x -> concat(lower(hex(x div {HIGH})), '@', {HIGH - 1} - x % {HIGH}))"), " "
+    part = f"concat(lower(hex(x div {HIGH})), '@', {HIGH - 1} - x % {HIGH})"
+    return F.expr(
+        f"array_join(transform(sequence(1, greatest(size({fingerprint}), 1), {PIECE}),"
+        f" s -> array_join(transform(slice({fingerprint}, s, {PIECE}), x -> {part}), ' ')), ' ')"
     )
 
 

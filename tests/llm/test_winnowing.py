@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,40 @@ def test_selected_hashes_equal_the_definition(spark, k, window):
         assert [(r.hash, r.position) for r in got[i].at] == expected
 
 
+@pytest.mark.parametrize("k,window,units", [(4, 8, 12), (4, 8, 13), (4, 8, 50), (1, 1, 2), (2, 4, 7), (8, 2, 10)])
+def test_pieces_change_nothing(spark, k, window, units):
+    draw = random.Random(units)
+    texts = [" \n ".join(draw.choice(["a", "b", "a", "Lorem", "é"]) for _ in range(n)) for n in [*range(45), 300]]
+    texts += ["\t " + "same " * 50, "x" * 77 + " y", "".join(draw.choice("ab\U0001F600") for _ in range(130)), None, ""]
+    codes = word_codes(spark, ["a b lorem é same x y \U0001F600"])
+    at = w.positions("fp").alias("at")
+    got = table(w.with_fingerprint(documents(spark, texts), "text", "fp", k, window, w.UNIT, units).select("doc_id", at))
+    for i, text in enumerate(texts):
+        # Runs are either of up to 5 characters or of more than 16.
+        expected = [c for run in (text or "").lower().split() for c in ([run] if len(run) <= 16 else run)]
+        assert [(r.hash, r.position) for r in got[i].at] == brute([codes[x] for x in expected], k, window), text
+
+
+def test_op4_texts_of_ten_million_characters(spark):
+    n = 10_000_000
+    signs = np.array(list("abcdefghijklmnop"))
+    text = "".join(signs[np.random.default_rng(3).integers(0, len(signs), n)])
+    got = table(w.compared_documents(documents(spark, [(2, text), (1, "short")])))
+    codes = word_codes(spark, [" ".join(signs)])
+    values = np.array([codes[c] for c in signs])[np.frombuffer(text.encode(), np.uint8) - ord("a")]
+    hashes = np.zeros(n - w.K + 1, dtype=np.int64)
+    for i in range(w.K):
+        hashes = (hashes * w.BASE + values[i : n - w.K + 1 + i]) % w.PRIME
+    ranked = hashes * w.HIGH + (w.HIGH - 1 - np.arange(len(hashes)))
+    least = np.lib.stride_tricks.sliding_window_view(ranked, w.WINDOW).min(axis=1)
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    expected = " ".join(f"{x // w.HIGH:x}@{w.HIGH - 1 - x % w.HIGH}" for x in least.tolist())
+    assert got[2].n_chars == n and got[2].fingerprint == expected
+    assert got[2].edited_sha256 == sha256((text[: n // 2] + "short").encode()).hexdigest()
+    # The texts draw on few different hashes, so half of the text has most of them.
+    assert got[2].near_edited > 0.9 and got[2].near_next == 0.0
+
+
 def test_shared_passages_share_a_hash(spark):
     draw = random.Random(9)
     word = lambda: f"w{draw.randrange(10**6)}"
