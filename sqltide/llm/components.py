@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltide.llm.shared import stored
@@ -20,14 +20,14 @@ def components(links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     while not _are_stars(edges):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(_both_ways("u", "v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: the larger neighbours of u hang on the least of u and its neighbours.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours hang on the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        hung = small.select(F.inline(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "vu"])))
         edges = stored(hung.where("u <> v").distinct(), "links")
     # Stars now: every edge leads to the least id of its component.
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
@@ -35,6 +35,10 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _both_ways(a: str, b: str) -> Column:
+    return F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ((a, b), (b, a))])
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one other at most, and none on a node that hangs itself."""
     roles = edges.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(

@@ -24,7 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sqltide.llm import shingles
 from sqltide.llm.bpe import text_slices
-from sqltide.llm.components import components
 from sqltide.llm.idfilter import perhaps_in
 from sqltide.llm.shared import stored
 
@@ -76,23 +75,19 @@ def in_runs(
 
 def stars(ids: list, linked: np.ndarray) -> list[tuple]:
     """Links that join each connected part of a run: every member to the part's least id."""
-    root = list(range(len(ids)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = top(int(i)), top(int(j))
-        if a != b:
-            root[a] = b
-    least: dict[int, object] = {}
-    for i, x in enumerate(ids):
-        r = top(i)
-        least[r] = min(least.get(r, x), x)
-    return [(x, least[top(i)]) for i, x in enumerate(ids) if x != least[top(i)]]
+    left, out = np.ones(len(ids), dtype=bool), []
+    linked = linked | linked.T
+    for first in sorted(range(len(ids)), key=lambda i: ids[i]):
+        if not left[first]:
+            continue
+        # Not yet reached from the least id: its own part.
+        edge = np.array([first])
+        left[first] = False
+        while len(edge):
+            edge = np.flatnonzero(linked[edge].any(axis=0) & left)
+            left[edge] = False
+            out.extend((ids[i], ids[first]) for i in edge if ids[i] != ids[first])
+    return out
 
 
 def overlaps(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +183,20 @@ def against_hubs(run: dict[str, list], percent: int) -> list[tuple]:
     return out
 
 
+def joined_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cluster's choices of centres, the part of every centre: the least centre that common sets lead to."""
+    for batch in batches:
+        out = []
+        for cluster, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names = sorted({x for centres in met for x in centres})
+            holds = np.array([[x in centres for x in names] for centres in met], dtype=np.int64)
+            part = dict(stars(names, holds.T @ holds > 0))
+            out.extend((cluster, x, part.get(x, x)) for x in names)
+        columns = zip(*out) if out else ([], [], [])
+        kind = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["cluster", "centre", "part"])
+
+
 def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) that the hubs leave open: to the set nearest the reference, and between parts.
 
@@ -195,18 +204,23 @@ def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFra
     other in d + e at most, and in d + e less twice their common differences.
     """
     most = lambda n, m: f"({n} + {m} - 2 * (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}))"
+    kind = starred.schema["id"].dataType.simpleString()
     nearest = starred.groupBy("cluster").agg(F.min(F.struct("d", "id", "n")).alias("near"))
-    certain = (
-        starred.join(nearest, "cluster")
-        .where(f"id <> near.id AND d + near.d <= {most('n', 'near.n')}")
-        .select(F.col("id").alias("a"), F.col("near.id").alias("b"))
+    # A set's centres: the hubs that it resembles, and the nearest set if it must resemble that or is it.
+    sure = F.expr(f"id = near.id OR d + near.d <= {most('n', 'near.n')}")
+    centred = starred.join(nearest, "cluster").select(
+        "cluster", "id", "n", "d", "first",
+        F.array_sort(F.array_distinct(F.when(sure, F.array_append("links", F.col("near.id"))).otherwise(F.col("links")))).alias("centres"),
     )
-    joined = stored(starred.select(F.col("id").alias("a"), F.explode("links").alias("b")).union(certain), "near-joined")
-    parts = components(joined)
+    # A cluster has few centres, so the distinct choices of them are few.
+    met = centred.where(F.size("centres") > 0).groupBy("cluster").agg(F.collect_set("centres").alias("met"))
+    parts = met.mapInArrow(joined_centres, f"cluster {kind}, centre {kind}, part {kind}")
     named = stored(
-        starred.join(parts, "id", "left").select("cluster", "id", "n", "d", "first", F.coalesce("component", "id").alias("part")),
+        centred.withColumn("centre", F.get("centres", F.lit(0))).join(parts, ["cluster", "centre"], "left")
+        .select("cluster", "id", "n", "d", "first", F.coalesce("part", "id").alias("part")),
         "near-parts",
     )
+    joined = named.where("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b"))
     counted = named.groupBy("cluster", "part").agg(F.count("*").alias("sets"))
     main = counted.groupBy("cluster").agg(
         F.max_by("part", F.struct("sets", "part")).alias("main"), F.count("*").alias("parts")
@@ -225,7 +239,6 @@ def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFra
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
-    kind = starred.schema["id"].dataType.simpleString()
     content = large.select("id", "shingles")
     both = pairs.join(content.toDF("a", "own"), "a").join(content.toDF("b", "other"), "b").select("a", "b", "own", "other")
 
@@ -287,7 +300,7 @@ def verified_links(
     )
     hubs = stored(
         in_runs(
-            sets.join(sample.select("cluster", "id").distinct(), ["cluster", "id"]),
+            sets.join(sample.select("cluster", "id"), ["cluster", "id"], "left_semi"),
             ["cluster"],
             lambda g: chosen_hubs(g["cluster"][0], g["id"], g["shingles"], percent),
             f"cluster {kind}, id {kind}, role int, shingles binary",

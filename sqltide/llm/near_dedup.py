@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ from sqltide.llm import shingles
 from sqltide.llm.bpe import text_slices
 from sqltide.llm.components import components
 from sqltide.llm.families import classes, in_runs, similar, stars, verified_links  # noqa: F401
-from sqltide.llm.shared import new_folder, stored
+from sqltide.llm.shared import stored
 
 VALUES = 128  # minhash values of a set
 BRANCHES = 2  # children that a set joins at each step
-LEAF = 64  # sets compared exhaustively in one node
-DENSE = 0.5  # chance that two sets of a node share a child, from which the node stops branching
+LEAF = 256  # sets compared exhaustively in one node
+DENSE = 0.5  # chance to agree on a step, from which a node stops branching: at 1 / BRANCHES pairs that meet do not grow
+STEPS = 3  # of a path from one level to the next, after the first one
 DEPTH = 24
 
 
@@ -78,8 +80,8 @@ def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def children(rows: DataFrame, kind: str) -> DataFrame:
-    """Each set's children under its node: child, node, set.
+def children(rows: DataFrame, kind: str, steps: int = 1) -> DataFrame:
+    """Each set's children under its node, so many steps down: child, node, set.
 
     A child is named by a hash of node, coordinate and minhash value.  The
     coordinates of a node are drawn by its name, distinct within the node.
@@ -89,14 +91,21 @@ def children(rows: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column(0).to_numpy().view(np.uint64)
             values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(-1, VALUES)
-            start = shingles.mixed(node) % np.uint64(VALUES)
-            stride = shingles.mixed(node + np.uint64(1)) % np.uint64(VALUES // 2) * np.uint64(2) + np.uint64(1)
-            for b in range(BRANCHES):
-                at = ((start + np.uint64(b) * stride) % np.uint64(VALUES)).astype(np.int64)
-                value = values[np.arange(len(at)), at].astype(np.uint64)
-                name = shingles.mixed(shingles.mixed(node + np.uint64(b + 2)) ^ (at.astype(np.uint64) << np.uint64(32) | value))
+
+            def below(node: np.ndarray, left: int) -> Iterator[np.ndarray]:
+                if not left:
+                    yield node
+                    return
+                start = shingles.mixed(node) % np.uint64(VALUES)
+                stride = shingles.mixed(node + np.uint64(1)) % np.uint64(VALUES // 2) * np.uint64(2) + np.uint64(1)
+                for b in range(BRANCHES):
+                    at = ((start + np.uint64(b) * stride) % np.uint64(VALUES)).astype(np.int64)
+                    value = values[np.arange(len(at)), at].astype(np.uint64)
+                    name = shingles.mixed(node + np.uint64(b + 2)) ^ (at.astype(np.uint64) << np.uint64(32) | value)
+                    yield from below(shingles.mixed(name), left - 1)
+
+            for name in below(batch.column(0).to_numpy().view(np.uint64), steps):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), batch.column(0), batch.column(1)], ["child", "node", "id"]
                 )
@@ -114,58 +123,49 @@ def candidate_links(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
     """Links between sets that may be similar; their components hold all similar pairs found.
 
     ``sets`` has ``id`` and ``values``.  Pairs of small nodes are taken five
-    standard deviations of the minhash estimate below the threshold.
+    standard deviations of the minhash estimate below the threshold.  A level
+    leaves its rows and its nodes; what meets in a small node of any level is
+    compared at the end, the same members once.
     """
     kind = sets.schema["id"].dataType.simpleString()
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / VALUES)
     roots = F.explode(F.expr(f"transform(sequence(1, {trees}), t -> xxhash64(t))"))
     level = sets.select(roots.alias("node"), "id", "values")
-    met = new_folder(sets.sparkSession, "near-met")
-    found = f"child long, a {kind}, b {kind}"
-    for depth in range(DEPTH + 1):
-        rows = stored(children(level, kind), "near-children")
-        sized = stored(
-            rows.groupBy("child", "node").agg(
-                F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("head")
-            ).where("size > 1"),
-            "near-nodes",
-        )
-        joined = None
+    placed, small, whole = [], [], []
+    for depth in range(0, DEPTH + 1, STEPS):
+        rows = stored(children(level, kind, STEPS if depth else 1), "near-children")
+        nodes = rows.groupBy("child", "node").agg(
+            F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("head")
+        ).where("size > 1")
         if depth:
             # Chance of sharing a child; a node that is dense is done as a whole.
-            parents = sized.groupBy("node").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("met"))
-            stop = large.join(parents, "node", "left").where(
-                (F.coalesce("met", F.lit(0.0)) / (BRANCHES * F.col("size").cast("double") * F.col("size")) >= DENSE)
-                | F.lit(depth == DEPTH)
-            ).select("node", "head")
-            joined = rows.join(stop, "node").select(F.lit(None).alias("child"), F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-            sized = sized.join(stop, "node", "left_anti")
-        # Nodes of the same members are compared once.
-        once = sized.where(F.col("size") <= LEAF).groupBy("size", "members", "head").agg(F.min("child").alias("child")).select("child")
-        leaves = rows.join(once, "child").select("child", F.col("id").alias("a"), F.lit(None).alias("b"))
-        # One table for all levels: members of small nodes by child, links of dense ones.
-        (leaves if joined is None else leaves.union(joined)).select(
-            F.col("child").cast("long"), F.col("a").cast(kind), F.col("b").cast(kind)
-        ).write.mode("append").option("compression", "zstd").parquet(met)
-        large = stored(sized.where(F.col("size") > LEAF).select(F.col("child").alias("node"), "size", "head"), "near-large")
+            parents = nodes.groupBy("node").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("met"))
+            dense = large.join(parents, "node").where(
+                F.col("met") / (F.col("size").cast("double") * F.col("size")) >= (BRANCHES * DENSE) ** STEPS
+            ).select("node", F.col("head").alias("top"))
+            nodes = nodes.join(dense, "node", "left").select("child", "node", "size", "members", "head", "top")
+        nodes = stored(nodes, "near-nodes")
+        if depth:
+            stop = nodes.where("top IS NOT NULL").select("node", "top").distinct()
+            whole.append(rows.join(stop, "node").select(F.col("id").alias("a"), F.col("top").alias("b")))
+            nodes = nodes.where("top IS NULL")
+        placed.append(rows.select("child", "id"))
+        small.append(nodes.where(F.col("size") <= LEAF).select("child", "size", "members", "head"))
+        large = nodes.where(F.col("size") > LEAF).select(F.col("child").alias("node"), "size", "head")
         if large.isEmpty():
             break
-        level = (
-            rows.select(F.col("child").alias("node"), "id")
-            .join(large.select("node"), "node")
-            .join(sets.select("id", "values"), "id")
-            .select("node", "id", "values")
-        )
-    every = sets.sparkSession.read.schema(found).parquet(met)
-    # The same members may meet on several levels.
+        branching = rows.select(F.col("child").alias("node"), "id").join(large.select("node", "head"), "node")
+        level = branching.join(sets.select("id", "values"), "id").select("node", "id", "values")
+    else:
+        whole.append(branching.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    once = reduce(DataFrame.union, small).groupBy("size", "members", "head").agg(F.min("child").alias("child")).select("child")
     compared = in_runs(
-        every.where("child IS NOT NULL").select("child", F.col("a").alias("id")).join(sets.select("id", "values"), "id")
-        .select("child", "id", "values"),
+        reduce(DataFrame.union, placed).join(once, "child").join(sets.select("id", "values"), "id").select("child", "id", "values"),
         ["child"],
         lambda g: stars(g["id"], alike(g["values"], least)),
         f"a {kind}, b {kind}",
     )
-    return compared.union(every.where("child IS NULL").select("a", "b"))
+    return reduce(DataFrame.union, whole, compared)
 
 
 def near_duplicates(
@@ -189,7 +189,7 @@ def near_duplicates(
         "near-sets",
     )
     found = components(candidate_links(sets, percent / 100, trees_for(percent / 100, recall)))
-    members = stored(found.select("id", F.col("component").alias("cluster")), "near-members")
+    members = found.select("id", F.col("component").alias("cluster"))
     linked = components(verified_links(df, members, key, text, percent))
     return classes(every, sets, linked, key)
 

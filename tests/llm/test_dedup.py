@@ -9,11 +9,12 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from llm.helpers import documents, table
-from sqltide.llm import components, exact_dedup, idfilter, line_dedup, near_dedup, shingles
+from sqltide.llm import components, exact_dedup, families, idfilter, line_dedup, near_dedup, shingles
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -96,6 +97,44 @@ def test_trees_reach_the_recall():
     assert near_dedup.trees_for(0.85, 0.9) == 1
 
 
+def test_a_family_below_the_threshold_takes_few_levels(spark, monkeypatch):
+    """Sets that agree on half of their values never get dense; every level is a round of shuffles."""
+    draw = np.random.default_rng(3)
+    fresh = draw.integers(0, 1 << 32, (1500, near_dedup.VALUES), dtype=np.uint64).astype("<u4")
+    values = np.where(draw.random(fresh.shape) < 0.7, fresh[:1], fresh)
+    values[1400:] = values[1300:1400]
+    levels = []
+    kept = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: (levels.append(name), kept(df, name))[1])
+    sets = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(values)], "id long, values binary")
+    found = components.components(near_dedup.candidate_links(sets, 0.85, 2)).collect()
+    of = {r.id: r.component for r in found}
+    assert all(of[i] == of[i - 100] for i in range(1400, 1500))
+    assert levels.count("near-children") <= 4
+
+
+def test_nodes_of_the_last_level_are_whole(spark, family, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "DEPTH", 0)
+    rows = near_dedup.near_duplicates(documents(spark, family), percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute_components(family, 85)
+
+
+def test_centres_that_sets_have_in_common_are_one_part():
+    met = [[[3, 5], [5, 9], [7]], [[2]], [[1, 4], [6, 8], [4, 6]]]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 20, 30]), pa.array(met)], ["cluster", "met"])
+    got = [tuple(r.values()) for out in families.joined_centres(iter([batch])) for r in out.to_pylist()]
+    assert got == [(10, 3, 3), (10, 5, 3), (10, 7, 7), (10, 9, 3), (20, 2, 2), (30, 1, 1), (30, 4, 1), (30, 6, 1), (30, 8, 1)]
+
+
+def test_stars_join_every_part_to_its_least_id():
+    linked = np.zeros((7, 7), dtype=bool)
+    for i, j in [(0, 3), (3, 6), (1, 4), (2, 2)]:
+        linked[i, j] = True
+    assert sorted(families.stars([70, 10, 20, 30, 40, 50, 60], linked)) == [(40, 10), (60, 30), (70, 30)]
+    assert families.stars([], np.zeros((0, 0), dtype=bool)) == []
+
+
 def test_shingles_are_sets_of_the_words():
     texts = ["A b\tc\x0bd e f", "a B c d e f", "a b c d e  f ", "a b c d", "", "x", "x y z", "é É"]
     found = [s.tolist() for s in shingles.shingle_sets(texts)]
