@@ -208,9 +208,11 @@ def between_parts(starred: DataFrame, large: DataFrame, percent: int) -> DataFra
     nearest = starred.groupBy("cluster").agg(F.min(F.struct("d", "id", "n")).alias("near"))
     # A set's centres: the hubs that it resembles, and the nearest set if it must resemble that or is it.
     sure = F.expr(f"id = near.id OR d + near.d <= {most('n', 'near.n')}")
-    centred = starred.join(nearest, "cluster").select(
-        "cluster", "id", "n", "d", "first",
-        F.array_sort(F.array_distinct(F.when(sure, F.array_append("links", F.col("near.id"))).otherwise(F.col("links")))).alias("centres"),
+    centres = F.when(sure, F.array_append("links", F.col("near.id"))).otherwise(F.col("links"))
+    # Stored, so that a large cluster's sets need not meet in one task for what follows.
+    centred = stored(
+        starred.join(nearest, "cluster").select("cluster", "id", "n", "d", "first", F.array_sort(F.array_distinct(centres)).alias("centres")),
+        "near-centres",
     )
     # A cluster has few centres, so the distinct choices of them are few.
     met = centred.where(F.size("centres") > 0).groupBy("cluster").agg(F.collect_set("centres").alias("met"))
