@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from sqltide.sources.store import stored
 
-from sqltide.sources.store import new_folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a new table in the shared folder and reads them back.
-
-    Cuts the lineage: a lost executor costs its running tasks only.  The table
-    stays until the folder is cleaned, as later reads of the result need it.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["stored"]

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from sqltide.operators import (
@@ -400,6 +401,88 @@ def test_similar_cases_with_cut_blocks(spark, monkeypatch):
     assert got == nearest(new.collect(), known.collect(), 4, 0.4)
 
 
+def written_records(spark, job):
+    """Rows that the shuffles of a job write."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    job()
+    context.setJobGroup("others", "others")
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("counted")]
+    stages = {s for j in jobs for s in j.stageIds}
+    written = 0
+    for stage in stages:
+        try:
+            written += store.lastStageAttempt(stage).shuffleWriteRecords()
+        except Py4JJavaError:  # one that was skipped wrote nothing
+            pass
+    return written
+
+
+def fields(spark, n, rng, tail):
+    """Patterns of few words in few places: no word is rare."""
+    rows = {
+        f"SELECT n{rng.randrange(8)} FROM b{rng.randrange(8)} JOIN t{rng.randrange(5)} ON id WHERE s{rng.randrange(8)} AND {tail}"
+        for _ in range(n)
+    }
+    return spark.createDataFrame(
+        [(f"c{i}", f, "mysql", None, "p", None, rng.randrange(100) / 100) for i, f in enumerate(sorted(rows))],
+        cases(spark, 1, random.Random(0)).schema,
+    )
+
+
+def test_similar_cases_move_few_pairs(spark, monkeypatch):
+    """1,000 patterns and cases, each word in an eighth of them: 125 cases share a word, five count."""
+    new, known = fields(spark, 1200, random.Random(1), "x y z"), fields(spark, 1200, random.Random(2), "x")
+    monkeypatch.setattr(similarity, "_FEW", 0, raising=False)
+    found = []
+    moved = written_records(spark, lambda: found.extend(similarity.similar_cases(new, known).collect()))
+    sets = new.count() + known.count()
+    got = {(r.fingerprint, r["rank"]): (r.case_fingerprint, round(r.similarity, 9)) for r in found}
+    lowered = {f.lower(): f for f in (r.fingerprint for r in [*new.collect(), *known.collect()])}
+    low = lambda df: df.withColumn("fingerprint", F.lower("fingerprint")).collect()
+    want = {(lowered[n], rank): (lowered[c], sim) for n, _, rank, c, sim in nearest(low(new)[:60], low(known), 5, 0.5)}
+    assert {k: got[k] for k in want} == want
+    assert moved < 45 * sets
+
+
+@pytest.mark.parametrize(
+    ("gain", "block", "depth", "sizes", "few"), [(0.01, 2, 3, 100, 1e9), (0.01, 50, 3, 0, 0), (1e9, 5, 8, 100, 0)]
+)
+def test_similar_cases_by_short_and_long_keys(spark, monkeypatch, gain, block, depth, sizes, few):
+    """Sets of 1 to 30 words, dense groups among them."""
+    for name, value in (("_GAIN", gain), ("_BLOCK", block), ("_DEPTH", depth), ("_SIZES", sizes), ("_FEW", few)):
+        monkeypatch.setattr(similarity, name, value)
+    draw, made = random.Random(4), []
+    words = [f"w{i}" for i in range(45)]
+    base = draw.sample(words, 22)
+    for n in (70, 130):
+        texts = {" ".join(draw.sample(words, draw.randrange(1, 31))) for _ in range(n)}
+        texts |= {" ".join([*draw.sample(base, draw.randrange(14, 23)), f"own{draw.randrange(9)}"]) for _ in range(n)}
+        rows = [
+            (f"c{i}", t, draw.choice(["mysql", "postgres"]), None, "p", None, draw.randrange(10) / 10)
+            for i, t in enumerate(sorted(texts))
+        ]
+        made.append(spark.createDataFrame(rows, cases(spark, 1, random.Random(0)).schema))
+    new, known = made
+    got = {
+        (r.fingerprint, r.db_type, r["rank"], r.case_fingerprint, round(r.similarity, 9))
+        for r in similarity.similar_cases(new, known, 3, 0.4).collect()
+    }
+    assert got == nearest(new.collect(), known.collect(), 3, 0.4)
+
+
+def test_similar_cases_of_nothing(spark):
+    some = cases(spark, 5, random.Random(1))
+    assert similarity.similar_cases(some.limit(0), some).collect() == []
+    assert similarity.similar_cases(some, some.limit(0)).collect() == []
+    other = some.withColumn("db_type", F.lit("other"))
+    assert similarity.similar_cases(some, other).collect() == []
+    with pytest.raises(ValueError):
+        similarity.similar_cases(some, some, 5, 0.0)
+
+
 @pytest.mark.parametrize("hubs", [1, 4])
 def test_clusters_match_brute_force_without_all_pairs(spark, monkeypatch, hubs):
     """Dense groups, chains and single cases: links stay in proportion to the sets."""
