@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from sqltide.functions.measures import at
 from sqltide.operators.filters import pending_batch
-from sqltide.plans.replies import merge_ai
+from sqltide.plans.replies import laid_over, merge_ai
 from sqltide.plans.rules import Rule, dispatch_rules
 from sqltide.schemas import ANALYSIS_METADATA
 
 
 def rule_findings(
-    q: DataFrame, strict: bool = False, extra: Mapping[str, Sequence[Rule]] | None = None
+    q: DataFrame,
+    strict: bool = False,
+    extra: Mapping[str, Sequence[Rule]] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Findings of the rules per query; failed analyses give no row."""
+    """Findings of the rules per query, with the columns ``keep``; failed analyses give no row."""
     return (
         dispatch_rules(q, strict, extra)
         .where(~F.col("analysis_failed"))
         .select(
             F.col("id").alias("slow_query_id"),
+            *keep,
             "problem",
             "root_cause",
             "suggestions",
@@ -81,6 +85,11 @@ def analyze(
     return to_results(findings, as_of, version)
 
 
+def analyze_answered(q: DataFrame, as_of: Column | str | datetime, version: str = "1.0.0") -> DataFrame:
+    """Analysis results of queries that have their parsed reply in ``ai``; a projection."""
+    return to_results(laid_over(rule_findings(q, keep=["ai"])), as_of, version)
+
+
 def analyze_pending(
     q: DataFrame,
     a: DataFrame,

@@ -18,8 +18,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from sqltide.operators.dedup import EXECUTION_KEY, dedup_executions, dedup_patterns, first_per_key
 from sqltide.operators.stats import SOURCE
-from sqltide.plans.analysis import analyze
-from sqltide.plans.replies import parse_ai_replies
+from sqltide.plans.analysis import analyze, analyze_answered
+from sqltide.plans.replies import with_best_reply
 from sqltide.schemas import MYSQL_SLOW_LOG, PG_STAT_STATEMENTS, SLOW_QUERY
 from sqltide.sources.ingest import ingest_mysql_slow_log, ingest_pg_stat_statements
 from sqltide.sources.store import durable, write_results
@@ -243,26 +243,43 @@ def stream_analyze(
     return each_batch(rows, action, checkpoint, processing_time)
 
 
-def with_replies(
-    rows: DataFrame, replies: DataFrame, wait: str = "1 hour", late_by: str = "10 minutes"
-) -> DataFrame:
-    """Each arriving query with its model reply, or without once none can come any more.
+_TOLD = T.StructType(
+    [
+        T.StructField("slow_query_id", T.StringType()),
+        T.StructField("reply", T.StringType()),
+        T.StructField("arrived_at", T.TimestampNTZType()),
+    ]
+)
+
+
+def _near(wait: str) -> Column:
+    length = F.expr(f"interval {wait}")
+    inside = F.col("arrived_at").between(F.col(_CAPTURED) - length, F.col(_CAPTURED) + length)
+    return (F.col("id") == F.col("slow_query_id")) & inside
+
 
-    ``replies`` has ``slow_query_id``, ``reply`` and ``arrived_at``.  A reply
-    belongs to a query when it arrived within ``wait`` of its capture time, before
-    or after; both sides are held no longer than that and ``late_by``.  Of
-    several replies each gives a row.
+def with_replies(queries: DataFrame, told: DataFrame, wait: str, over: Column) -> DataFrame:
+    """Each query with its ``reply`` that one batch adds, or with null when it is over without one.
+
+    A reply belongs to a query when it arrived within ``wait`` of its capture
+    time, before or after.  ``fresh`` marks the rows of the batch, on both
+    sides; what earlier batches held met before, and ``met`` marks queries that
+    had a reply then.  Of several replies each gives a row.
     """
-    queries = _event_time(rows).withWatermark(_CAPTURED, late_by)
-    arrived = F.col("arrived_at")
-    if isinstance(replies.schema["arrived_at"].dataType, T.TimestampNTZType):
-        arrived = to_instant(arrived)
-    told = replies.select("slow_query_id", "reply", arrived.alias("arrived_at")).withWatermark("arrived_at", late_by)
-    near = F.expr(
-        f"id = slow_query_id AND arrived_at >= {_CAPTURED} - interval {wait} AND arrived_at <= {_CAPTURED} + interval {wait}"
+    new = told.withColumn("_told", F.col("fresh")).drop("fresh")
+    joined = queries.join(new, _near(wait), "left")
+    added = F.col("_told") | (F.col("_told").isNotNull() & F.col("fresh"))
+    alone = F.col("_told").isNull() & ~F.col("met") & over
+    return joined.where(F.coalesce(added, F.lit(False)) | alone).drop(
+        "slow_query_id", "arrived_at", "_told", "met", "fresh"
     )
-    joined = queries.join(told, near, "leftOuter").drop("slow_query_id", "arrived_at")
-    return joined.withColumn(_CAPTURED, to_naive(F.col(_CAPTURED)))
+
+
+def _before(time: Column, moment: str | None, length: str) -> Column:
+    """Whether a time is more than a length before a moment; rows without a time never are."""
+    if moment is None:
+        return F.lit(False)
+    return F.coalesce(time < F.lit(moment).cast("timestamp_ntz") - F.expr(f"interval {length}"), F.lit(False))
 
 
 def stream_answered(
@@ -277,18 +294,73 @@ def stream_answered(
 ) -> StreamingQuery:
     """Analysis results with the replies that arrive in time laid over them.
 
-    Replies to one query that come in one batch are merged; later ones give a
-    further result of the same id, of which ``latest_results`` takes the best.
+    ``replies`` has ``slow_query_id``, ``reply`` and ``arrived_at``.  A query
+    without a reply gets its result once none can come any more: both sides have
+    rows later than ``wait`` and ``late_by`` after it, and rows so late
+    themselves are dropped.  What can still meet later rows is kept as a table
+    beside the checkpoint, none of it in memory; a batch that runs again finds
+    that of the batch before it.  Replies to one query that come in one batch
+    are merged; later ones give a further result of the same id, of which
+    ``latest_results`` takes the best.
     """
+    naive = lambda df, c: F.col(c) if isinstance(df.schema[c].dataType, T.TimestampNTZType) else to_naive(F.col(c))
+    queries = rows.withColumn(_CAPTURED, naive(rows, _CAPTURED))
+    told = replies.withColumn("arrived_at", naive(replies, "arrived_at")).select(*_TOLD.names)
+    query, answer = F.struct(*queries.columns), F.struct(*told.columns)
+    both = queries.select(query.alias("query")).unionByName(told.select(answer.alias("told")), allowMissingColumns=True)
+    flags = [T.StructField("fresh", T.BooleanType()), T.StructField("met", T.BooleanType())]
+    held_schemas = {
+        "queries": T.StructType([*queries.schema.fields, *flags]),
+        "replies": T.StructType([*_TOLD.fields, flags[0]]),
+        "times": T.StructType([T.StructField(c, T.StringType()) for c in (_CAPTURED, "arrived_at")]),
+    }
+
+    def held(batch_id: int, name: str) -> str:
+        return f"{checkpoint}/held/{batch_id % 3}/{name}"
 
     def action(batch: DataFrame, batch_id: int) -> None:
-        batch = durable(batch)
-        answered = batch.where(F.col("reply").isNotNull()).select(F.col("id").alias("slow_query_id"), "reply")
-        queries = batch.drop("reply").dropDuplicates(["id"])
+        spark = batch.sparkSession
+        before = {
+            name: spark.read.schema(schema).parquet(held(batch_id - 1, name))
+            if batch_id
+            else spark.createDataFrame([], schema)
+            for name, schema in held_schemas.items()
+        }
+        seen = before["times"].unionByName(
+            batch.select(
+                F.col(f"query.{_CAPTURED}").cast("string").alias(_CAPTURED),
+                F.col("told.arrived_at").cast("string").alias("arrived_at"),
+            )
+        )
+        latest = [F.max(F.col(c).cast("timestamp_ntz")) for c in (_CAPTURED, "arrived_at")]
+        # Time moves on as the slower side does.
+        slower = F.when(latest[0].isNotNull() & latest[1].isNotNull(), F.least(*latest)).cast("string")
+        start = before["times"].agg(slower).first()[0]
+        *times, now = seen.agg(*[c.cast("string") for c in latest], slower).first()
+        late = {c: _before(F.col(c), start, late_by) for c in (_CAPTURED, "arrived_at")}
+        own = batch.where("query IS NOT NULL").select("query.*").where(~late[_CAPTURED])
+        asked = before["queries"].unionByName(own.withColumns({"fresh": F.lit(True), "met": F.lit(False)}))
+        arrived = batch.where("told IS NOT NULL").select("told.*").where(~late["arrived_at"])
+        answers = before["replies"].unionByName(arrived.withColumn("fresh", F.lit(True)))
+        over = _before(F.col(_CAPTURED) + F.expr(f"interval {wait}"), now, late_by)
+        answered = with_replies(asked, answers, wait, over)
         moment = _batch_time() if as_of is None else as_of
-        replace_batch(analyze(queries, moment, replies=parse_ai_replies(answered)), batch_id, path)
+        replace_batch(analyze_answered(with_best_reply(answered), moment), batch_id, path)
+        # A reply that a kept query has is at most twice the wait before now.
+        length = F.expr(f"interval {wait}")
+        kept = durable(asked.where(~over))
+        recent = durable(answers.where(~_before(F.col("arrived_at") + length + length, now, late_by)))
+        met = kept.join(recent.drop("fresh"), _near(wait), "left_semi").withColumn("met", F.lit(True))
+        alone = kept.join(recent.drop("fresh"), _near(wait), "left_anti")
+        left = recent.where(~_before(F.col("arrived_at") + length, now, late_by))
+        for name, part in (("queries", met.unionByName(alone)), ("replies", left)):
+            flagged = part.withColumn("fresh", F.lit(False))
+            flagged.write.mode("overwrite").parquet(held(batch_id, name))
+        spark.createDataFrame([times], held_schemas["times"]).write.mode("overwrite").parquet(
+            held(batch_id, "times")
+        )
 
-    return each_batch(with_replies(rows, replies, wait, late_by), action, checkpoint, processing_time)
+    return each_batch(both, action, checkpoint, processing_time)
 
 
 def latest_results(results: DataFrame) -> DataFrame:

@@ -118,6 +118,48 @@ def test_replies_early_late_and_none(spark, tmp_path):
     assert sorted(map(repr, stored.select(*columns).collect())) == want
 
 
+def test_replies_over_several_batches(spark, tmp_path):
+    """Each side comes by one file a batch; what waits for the other side is in no streaming state."""
+    minute, hour = 60 * SECOND, 3600 * SECOND
+    sql = "SELECT * FROM t WHERE a = 1"
+    schema = T.StructType().add("slow_query_id", "string").add("reply", "string").add("arrived_at", "timestamp_ntz")
+    said = lambda q, cause, at, sure=0.9: (q, f'{{"root_cause": "{cause}", "confidence": {sure}}}', START + at)
+    asked = [
+        [(q, "h", START + i * minute, 9000, sql) for i, q in enumerate(["same", "next", "twice", "never", "null", "late"])],
+        [("early", "h", START + 20 * minute, 9000, sql), ("same", "h", START, 9000, sql)],
+        [("move", "h", START + 5 * hour, 9000, sql)],
+        [("old", "h", START + minute, 9000, sql), ("open", "h", START + 5 * hour, 9000, sql)],
+        [("move2", "h", START + 9 * hour, 9000, sql)],
+    ]
+    told = [
+        [said("same", "a", minute), said("twice", "worse", minute, 0.5), said("early", "b", minute), ("null", None, START)],
+        [said("next", "c", 30 * minute), said("twice", "better", 9 * minute, 0.95), said("never", "no", 3 * hour)],
+        [("nobody", "x", START + 5 * hour)],
+        [said("late", "too late", 2 * minute), said("old", "d", minute)],
+        [("nobody", "x", START + 9 * hour)],
+    ]
+    queries, replies, out = str(tmp_path / "q"), str(tmp_path / "r"), str(tmp_path / "out")
+    for part, answers in zip(asked, told, strict=True):
+        slow_queries(spark, part).coalesce(1).write.mode("append").parquet(queries)
+        spark.createDataFrame(answers, schema).coalesce(1).write.mode("append").parquet(replies)
+    run = jobs.stream_answered(
+        jobs.read_files(spark, queries, SLOW_QUERY, max_files=1), jobs.read_files(spark, replies, schema, max_files=1),
+        out, str(tmp_path / "c"), as_of=AS_OF,
+    )
+    run.awaitTermination()
+    assert [p.stateOperators for p in run.recentProgress if p.stateOperators] == []
+    stored = spark.read.parquet(out)
+    got = {r.slow_query_id: r.root_cause for r in jobs.latest_results(stored).collect()}
+    own = got["never"]
+    assert got == {
+        "same": "a", "next": "c", "twice": "better", "never": own, "null": own, "late": own, "early": "b", "move": own, "open": own,
+    }
+    # A query that was answered is not told of again when its time is over.
+    assert {r.slow_query_id: r["count"] for r in stored.groupBy("slow_query_id").count().collect() if r["count"] > 1} == {
+        "same": 2, "twice": 2
+    }
+
+
 def statement(i, at=None):
     return (i, f"SELECT c{i} FROM t", 1, 1.0, 5000.0, 1.0, 1, 1, 1, 0, None, at)
 
