@@ -448,7 +448,7 @@ def test_similar_cases_move_few_pairs(spark, monkeypatch):
 
 
 @pytest.mark.parametrize(
-    ("gain", "block", "depth", "sizes", "few"), [(0.01, 2, 3, 100, 1e9), (0.01, 50, 3, 0, 0), (1e9, 5, 8, 100, 0)]
+    ("gain", "block", "depth", "sizes", "few"), [(0.01, 2, 3, 100, 1e9), (0.01, 50, 8, 0, 0), (1e9, 5, 8, 100, 0)]
 )
 def test_similar_cases_by_short_and_long_keys(spark, monkeypatch, gain, block, depth, sizes, few):
     """Sets of 1 to 30 words, dense groups among them."""
